@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op3_mixing": mixing.query,
+    "op9_simhash": simhash.query,
 }
 
 ORACLE_SQL = {

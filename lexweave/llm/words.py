@@ -156,3 +156,45 @@ def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     at = order[new]
     by_doc = np.argsort(doc[at], kind="stable")
     return doc[at][by_doc], h[at][by_doc], counts[by_doc]
+
+
+class Batch(NamedTuple):
+    """Some rows of a column with all their words. first: the batch's place of row 0; rows: how many."""
+
+    first: int
+    rows: int
+    doc: np.ndarray
+    hash: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    col: Column
+
+
+def batches(texts: pa.Array | pa.ChunkedArray, size: int = 2 * PIECE, lower: bool = True) -> Iterator[Batch]:
+    """The texts some megabytes at a time, never less than a whole text; doc counts from the batch's first row."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.cast(pa.large_string()).chunks) if texts.num_chunks else pa.array([], pa.large_string())
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(texts):
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+        col = column(texts.slice(at, to - at), lower)
+        got = list(pieces(col))
+        doc, h, s, e = (np.concatenate([p[i] for p in got]) if got else np.zeros(0, t) for i, t in enumerate((np.int64, np.uint64, np.int64, np.int64)))
+        yield Batch(at, to - at, doc, h, s, e, col)
+        at = to
+
+
+def shingles(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, hash) of every n words in a row of one text."""
+    if len(h) < n:
+        return doc[:0], h[:0]
+    got = h[: len(h) - n + 1].copy()
+    for i in range(1, n):
+        got = mix(got * np.uint64(_BASE) + h[i : len(h) - n + 1 + i])
+    same = doc[: len(h) - n + 1] == doc[n - 1 :]
+    return doc[: len(h) - n + 1][same], got[same]
