@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, simhash
+from . import decontaminate, mixing, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op3_mixing": mixing.query,
+    "op8_decontaminate": decontaminate.query,
     "op9_simhash": simhash.query,
 }
 
