@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, simhash
+from . import decontaminate, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op3_mixing": mixing.query,
+    "op7_toxicity": toxicity.query,
     "op8_decontaminate": decontaminate.query,
     "op9_simhash": simhash.query,
 }
