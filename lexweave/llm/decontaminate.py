@@ -25,7 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,10 +152,19 @@ def spans(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array([x.tolist() for x in items], pa.list_(pa.int64()))], names=[key, "start", "end", "items"])
 
         got = df.select(col(key), col(text)).mapInArrow(run, schema)
-        out = got if out is None else out.unionByName(got)
+        out = got if out is None else _merged(out.unionByName(got), key)
     return out
 
 
+def _merged(found: DataFrame, key: str) -> DataFrame:
+    """Overlapping or touching spans of a key as one; for a benchmark of several slices, whose keys must be unique."""
+    before = Window.partitionBy(key).orderBy("start", "end")
+    reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((col("start") > reach).cast("int"), F.lit(1))
+    island = found.withColumn(OWN + "new", new).withColumn(OWN + "island", F.sum(OWN + "new").over(before))
+    return island.groupBy(col(key), OWN + "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop(OWN + "island")
+
+
 def remove(df: DataFrame, benchmark: DataFrame, text: str = "text", chars: str = "n_chars", item: str = "item_id", item_text: str = "text", n: int = PHRASE, least: int = LEAST, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """df with the spans cut out of its texts, and the column of their lengths, if there is one, put right."""
     at, at_chars = df.columns.index(text), df.columns.index(chars) if chars in df.columns else -1

@@ -249,7 +249,8 @@ def duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """df without the duplicates; all columns as they are."""
-    gone = cut(duplicates(df, key, text, **how).groupBy(col(key).alias(OWN + "k"), OWN + "row").agg(F.count("*").alias(OWN + "gone"), F.max(col("duplicate_of").eqNullSafe(col(OWN + "k"))).alias(OWN + "self")))
+    out = duplicates(df, key, text, **how).select(col(key).alias(OWN + "k"), OWN + "row", col("duplicate_of").eqNullSafe(col(key)).alias(OWN + "self"))
+    gone = cut(out.groupBy(OWN + "k", OWN + "row").agg(F.count("*").alias(OWN + "gone"), F.max(OWN + "self").alias(OWN + "self")))
     marked = df.withColumn(OWN + "row", row_hash(df))
     # A key is its own duplicate where rows repeat, or where rows share a key; only then are rows told apart by count.
     if gone.filter(OWN + "self").isEmpty():
