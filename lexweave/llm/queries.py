@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, simhash, toxicity
+from . import decontaminate, language, licenses, mixing, sampling, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op3_mixing": mixing.query,
+    "op4_sampling": sampling.query,
+    "op5_language": language.query,
+    "op6_licenses": licenses.query,
     "op7_toxicity": toxicity.query,
     "op8_decontaminate": decontaminate.query,
     "op9_simhash": simhash.query,
@@ -15,4 +18,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_sharding": sharding.oracle(),
     "op3_mixing": mixing.ORACLE,
+    "op6_licenses": licenses.oracle(),
 }
