@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, mixing, sampling, sharding, simhash, toxicity
+from . import decontaminate, language, licenses, lm, mixing, sampling, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op2_lm": lm.query,
     "op3_mixing": mixing.query,
     "op4_sampling": sampling.query,
     "op5_language": language.query,
