@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, lm, mixing, sampling, sharding, simhash, toxicity
+from . import decontaminate, language, licenses, lm, mixing, sampling, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": toxicity.query,
     "op8_decontaminate": decontaminate.query,
     "op9_simhash": simhash.query,
+    "op10_warc": warc.query,
 }
 
 ORACLE_SQL = {
