@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,11 @@ class Parsed(NamedTuple):
     diagnostics: DataFrame
     stats: DataFrame
 
+    def release(self) -> None:
+        """Lets go of what parse() keeps on the executors."""
+        self.lines.unpersist()
+        self.nodes.unpersist()
+
 
 def tag_lines(lines: DataFrame) -> DataFrame:
     """lines with role and the chapter, section, article, appendix and table that are open at each."""
@@ -186,9 +192,13 @@ def _appendices(tagged: DataFrame) -> DataFrame:
 
 
 def parse(lines: DataFrame) -> Parsed:
-    """Everything that the lines (source_file, extraction_method, n, text, page, page_line) hold."""
+    """Everything that the lines (source_file, extraction_method, n, text, page, page_line) hold.
+
+    Tagged lines and nodes are read by many results, so they are kept on the executors when first computed; what is lost with
+    one is computed again. release() lets them go.
+    """
     col, lit = F.col, F.lit
-    tagged = tag_lines(lines)
+    tagged = tag_lines(lines).persist(StorageLevel.MEMORY_AND_DISK)
     regulations = enrich.regulations(tagged)
     heads = _heads(tagged)
     pieces, clauses = _clauses(tagged)
@@ -239,8 +249,8 @@ def parse(lines: DataFrame) -> Parsed:
     order = Window.partitionBy("source_file").orderBy("x", *PLACE[1:])
     nodes = nodes.withColumn("node_seq", F.row_number().over(order))
     nodes = nodes.join(regulations.select("source_file", "regulation_id", col("title").alias("regulation_title")), "source_file")
-    nodes = _identified(nodes)
-    return Parsed(tagged, regulations, enrich.statuses(nodes), diagnostics(tagged, regulations), stats(tagged, nodes, regulations))
+    nodes = enrich.statuses(_identified(nodes)).persist(StorageLevel.MEMORY_AND_DISK)
+    return Parsed(tagged, regulations, nodes, diagnostics(tagged, regulations), stats(tagged, nodes, regulations))
 
 
 def _identified(nodes: DataFrame) -> DataFrame:

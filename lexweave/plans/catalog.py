@@ -283,9 +283,9 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_quality_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = parsed(spark, sf_dir).nodes
-    refs = enrich.references(nodes)
-    made = project.search_documents(nodes, parsed(spark, sf_dir).regulations, refs).filter("node_type = 'clause'")
+    p = parsed(spark, sf_dir)
+    refs = enrich.references(p.nodes)
+    made = project.search_documents(p.nodes, p.regulations, refs).filter("node_type = 'clause'")
     keys = ("reference_types", "required_documents", "incompleteness_types")
     return made.groupBy(*[F.coalesce(F.col("metadata").getItem(k), F.lit("")).alias(k) for k in keys]).agg(F.count("*").alias("n"))
 
