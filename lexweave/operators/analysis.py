@@ -37,6 +37,11 @@ def _full(*lists: Column) -> Column:
     return F.coalesce(*[F.when(F.size(v) > 0, v) for v in lists])
 
 
+def _over(below: Column, above: Column) -> Column:
+    """Both maps in one; above wins."""
+    return F.map_concat(F.map_filter(below, lambda k, v: ~F.map_contains_key(above, k)), above)
+
+
 def read_traces(lines: DataFrame, questions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(traces, issues) from (line_number, value): JSON of one answer a line. Blank lines are skipped, bad ones become issues."""
     col = F.col
@@ -53,8 +58,7 @@ def read_traces(lines: DataFrame, questions: DataFrame | None = None) -> tuple[D
     maps = [F.coalesce(m, F.expr("cast(map() as map<string,string>)")) for m in [*[x["metadata"] for x in reversed(packages)], p("metadata")]]
     meta = maps[0]
     for m in maps[1:]:
-        # What comes later wins.
-        meta = F.map_concat(F.map_filter(meta, lambda k, v, m=m: ~F.map_contains_key(m, k)), m)
+        meta = _over(meta, m)
     none = F.expr(f"cast(array() as array<{TYPE}>)")
     rows = ok.withColumn("evaluation", evaluation).select(
         "line_number", "evaluation",

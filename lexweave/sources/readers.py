@@ -70,7 +70,7 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_number from 1, value) of a file, for records whose place is reported."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     line = whole.select(F.posexplode(F.split("value", "\r\n|\n")).alias("n", "value"))
     return line.select((F.col("n") + 1).alias("line_number"), "value")
 
