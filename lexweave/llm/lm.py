@@ -11,8 +11,8 @@ Counts cover every word of every text and are exchanged, not gathered. Texts are
 into chunks once. A chunk sends its distinct n-grams as sorted, packed keys to as many owners;
 an owner adds them up and answers every chunk, in the order of its keys. The same chunks then look their
 events up by place. For the weights, held-out events are counted in cells of
-(class, logarithms of the three estimates, rounded to 1 / STEPS); the cells are what
-the iteration runs on, so their number doesn't follow the corpus. Scores use exact estimates.
+(class, logarithms of the three estimates, rounded as GRID says); the cells are what
+the iteration runs on, and there are at most BUCKETS * 50 * 50 * 42 of them for any corpus. Scores use exact estimates.
 
 A text's events are its words and its end. bits is the mean of -log2 of their probabilities.
 
@@ -38,8 +38,8 @@ from .common import OWN, col
 
 LONGEST = 15
 BUCKETS = 2 * (LONGEST + 1)
-STEPS = 2
-LEAST = 40
+#: Steps for a factor of 2, and the largest negative logarithm told apart, of the three estimates in a cell.
+GRID = ((2, 24), (2, 24), (1, 40))
 ROUNDS = 60
 
 _BOS, _EOS = words.salt(101), words.salt(102)
@@ -183,20 +183,21 @@ def cells(bucket: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code = bucket.copy()
     for k in range(3):
         with np.errstate(divide="ignore"):
-            q = np.where(p[:, k] > 0, 1 + np.clip(np.round(-np.log2(p[:, k]) * STEPS), 0, LEAST * STEPS), 0)
-        code = code * (LEAST * STEPS + 2) + q.astype(np.int64)
+            steps, least = GRID[k]
+            q = np.where(p[:, k] > 0, 1 + np.clip(np.round(-np.log2(p[:, k]) * steps), 0, least * steps), 0)
+        code = code * (least * steps + 2) + q.astype(np.int64)
     return np.unique(code, return_counts=True)
 
 
 def maximise(code: np.ndarray, n: np.ndarray, uniform: float, rounds: int = ROUNDS) -> np.ndarray:
     """Mixture weights of every class, by expectation-maximisation over the cells."""
-    base = LEAST * STEPS + 2
     p = np.full((len(code), 4), uniform)
     rest = code.copy()
     for k in (2, 1, 0):
-        q = rest % base
-        p[:, k] = np.where(q > 0, 2.0 ** (-(q - 1) / STEPS), 0)
-        rest //= base
+        steps, least = GRID[k]
+        q = rest % (least * steps + 2)
+        p[:, k] = np.where(q > 0, 2.0 ** (-(q - 1) / steps), 0)
+        rest //= least * steps + 2
     weights = np.full((BUCKETS, 4), 0.25)
     for _ in range(rounds):
         share = weights[rest] * p
