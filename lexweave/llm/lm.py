@@ -161,7 +161,7 @@ def estimates(events: Events, answers: list[bytes], vocabulary: int, total: tupl
             raise RuntimeError("a chunk's keys changed between two reads of its texts")
         counts.append(both[other, events.place[order]])
     uni, bi, tri = counts
-    last = np.append(events.first[1:], len(uni)) - 1
+    last = np.append(events.first[1:], len(uni))[: len(events.first)] - 1
     texts = np.zeros(2)
     for f in (0, 1):
         mine = last[other[last] == f]
@@ -240,7 +240,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", partitions: in
 
     def count(table: pa.Table, totals: pa.Table) -> pa.Table:
         answers, v, n = _ordered(totals)
-        code, how_many = cells(*estimates(read(table), answers, v, n)) if table.num_rows else (np.zeros(0, np.int64),) * 2
+        code, how_many = cells(*estimates(read(table), answers, v, n)) if table.num_rows and answers else (np.zeros(0, np.int64),) * 2
         return pa.table({"code": pa.array(code), "n": pa.array(how_many.astype(np.int64)), "v": pa.array(np.full(len(code), v, np.int64))})
 
     def learn(table: pa.Table) -> pa.Table:
