@@ -21,8 +21,7 @@ import hashlib
 import math
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +32,8 @@ SEED = 17
 ROUNDS = 6
 #: A prime, so that regular strides of ids still spread.
 BUCKETS = 65521
+#: Steps of a cycle walk.
+WALK = 64
 _P = (1 << 31) - 1
 _C = 48271
 
@@ -98,6 +99,28 @@ def locate(row_number: int, n: int, shards: int = SHARDS, seed: int = SEED) -> t
     return p % shards, p // shards
 
 
+def position(x: Column, n: Column, seed: int = SEED) -> Column:
+    """permute() as an expression. A walk visits at most 2a places beyond n - 1, and no more than WALK of them unless
+    a > WALK / 2, when each further step has a chance below 2 / a; a walk that is still beyond raises an error."""
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    a = a + F.when(a * a < n, 1).otherwise(0) - F.when((a - 1) * (a - 1) >= n, 1).otherwise(0)
+    keys = F.array(*[F.lit(k).cast("long") for k in round_keys(seed)])
+
+    def f(r: Column, k: Column) -> Column:
+        # As _f; every step is bound by a fold over one value, so that it is computed once.
+        first = F.transform(F.array(r + k), lambda t: t % _P)
+        for made in (lambda t: (t * t + k) % _P, lambda t: (t * _C + r) % _P, lambda t: (t * t + r) % _P):
+            first = F.transform(first, made)
+        return first[0] % a
+
+    def once(y: Column) -> Column:
+        pair = F.struct(((y - F.pmod(y, a)) / a).cast("long").alias("l"), F.pmod(y, a).alias("r"))
+        return F.aggregate(keys, pair, lambda s, k: F.struct(s["r"].alias("l"), ((s["l"] + f(s["r"], k)) % a).alias("r")), lambda s: s["l"] * a + s["r"])
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(x), lambda y, i: F.when(y < n, y).otherwise(once(y)))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a walk did not come back")).cast("long"))
+
+
 def row_numbers(df: DataFrame, key: str = "doc_id", name: str = "row_number", total: str = OWN + "n") -> DataFrame:
     """Global numbers from 0, and the number of rows, in one shuffle of df."""
     integral = isinstance(df.schema[key].dataType, T.IntegralType)
@@ -122,15 +145,9 @@ def shard(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, seed: int =
     """df with row_number, position, shard and slot."""
     if shards < 1:
         raise ValueError("shards: at least 1")
-    keys = round_keys(seed)
-
-    @F.arrow_udf(T.LongType())
-    def permuted(x: pa.Array, n: pa.Array) -> pa.Array:
-        return pa.array(_walk(_once, x.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False), keys))
-
     numbered = row_numbers(without(df, "row_number", "position", "shard", "slot"), key)
     return (
-        numbered.withColumn("position", permuted(col("row_number"), col(OWN + "n")))
+        numbered.withColumn("position", position(col("row_number"), col(OWN + "n"), seed))
         .withColumn("shard", F.pmod(col("position"), F.lit(shards)).cast("int"))
         .withColumn("slot", F.expr(f"position div {shards}"))
         .drop(OWN + "n")

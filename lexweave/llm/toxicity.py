@@ -259,7 +259,9 @@ def _contexts(texts: list[pa.Array], pick: np.ndarray, among: dict[int, np.ndarr
         at += len(chunk)
         for b in words.batches(chunk.filter(pa.array(part)), 8 * words.PIECE):
             head, size = heads(b)
-            before = words.mix(np.concatenate([np.zeros(1, np.uint64), b.hash[:-1]]))
+            before = np.concatenate([np.zeros(1, np.uint64), b.hash[:-1]])[: len(b.hash)]
+            before[1:][b.doc[1:] != b.doc[:-1]] = 0
+            before = words.mix(before)
             for n in STEM_BYTES:
                 rows = np.flatnonzero(size >= n)
                 h = head[rows] & _mask(n)
@@ -281,10 +283,15 @@ def fit(documents: DataFrame, labels: DataFrame | None, key: str = "doc_id", tex
         return {}
     some = labels.select(col(key).alias("id"), col(label).alias("bad")).filter("id is not null and bad is not null").groupBy("id").agg(F.max("bad").alias("bad"))
     some = some.orderBy(F.xxhash64("id"), "id").limit(rows)
-    got = documents.select(col(key).alias("id"), col(text).alias("text")).join(F.broadcast(some), "id").select("text", F.col("bad").cast("int").alias("bad")).toArrow()
-    if not got.num_rows or not any(got.column("bad").to_pylist()):
-        return {}
-    return learn(got.column("text").chunks, np.concatenate([c.to_numpy(zero_copy_only=False) for c in got.column("bad").chunks]) > 0, support)
+    got = documents.select(col(key).alias("id"), col(text).alias("text")).join(F.broadcast(some), "id").select("text", F.col("bad").cast("int").alias("bad"))
+
+    def stems(table: pa.Table) -> pa.Table:
+        toxic = table.column("bad").to_numpy() > 0
+        found = learn(table.column("text").chunks, toxic, support) if toxic.any() else {}
+        return pa.table({"stem": pa.array(list(found), pa.binary()), "symbol": pa.array(list(found.values()), pa.int32())})
+
+    # The sample is bounded, so one task can learn from it; only stems reach the driver.
+    return {bytes(r.stem): r.symbol for r in got.groupBy(F.lit(0).alias("one")).applyInArrow(stems, "stem binary, symbol int").collect()}
 
 
 def scored(df: DataFrame, stems: dict[bytes, int], text: str = "text") -> DataFrame:

@@ -55,6 +55,18 @@ def salt(seed: int) -> np.uint64:
     return mix(np.array([(seed + 1) * 0x9E3779B97F4A7C15 & _M], np.uint64))[0]
 
 
+def release() -> None:
+    """Gives memory that this worker no longer uses back to the system; workers live on from task to task."""
+    # Imported here, as functions travel with their modules' globals, and a C library can't.
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         both = []
@@ -186,7 +198,9 @@ def batches(texts: pa.Array | pa.ChunkedArray, size: int = 2 * PIECE, lower: boo
         got = list(pieces(col))
         doc, h, s, e = (np.concatenate([p[i] for p in got]) if got else np.zeros(0, t) for i, t in enumerate((np.int64, np.uint64, np.int64, np.int64)))
         yield Batch(at, to - at, doc, h, s, e, col)
+        del got, doc, h, s, e, col
         at = to
+    release()
 
 
 def shingles(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
