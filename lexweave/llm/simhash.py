@@ -4,12 +4,13 @@ A text's fingerprint has BITS bits: each is the sign of a sum over its word
 pairs (single words in texts of one word), every occurrence voting by a hash bit.
 Fingerprints within MAX_DISTANCE bits are near duplicates.
 
-Equal fingerprints are one point. Points meet in TABLES tables, each of which
-groups them by its own random sample of coordinates. A bucket beyond
-BUCKET_CAP points is split by further sampled bits, STEP at a time, until it is small
-enough; what is left together after all bits of a table's order are used is
-equal in every bit and thus one point, so nobody is dropped. Candidates are
-verified by their distance over all bits. Groups are the connected components
+Equal fingerprints are one point. Points meet in tables, each of which
+groups them by its own random sample of coordinates: so many bits that a mean bucket
+holds BUCKET points at most, and so many tables that a pair at MAX_DISTANCE meets
+with probability RECALL at least (plan()). A bucket of up to BUCKET_CAP points is
+compared in full. A larger one is split by further bits, again in as many tables as
+keep what INNER allows to be lost, so recall doesn't fall with size or density.
+Candidates are verified by their distance over all bits. Groups are the connected components
 of verified pairs; a group's document with the lowest (key, row content) stays.
 
 Defined cases: texts without a word (null, empty, punctuation) are never
@@ -21,6 +22,7 @@ gives an empty result; an input column named as an output column is replaced.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +37,10 @@ from .common import OWN, col, cut, row_hash, without
 BITS = 128
 WORDS = 2
 MAX_DISTANCE = 20
-TABLES = 24
-BASE_BITS = 14
-STEP = 2
-BUCKET_CAP = 256
+#: Least probability that a pair at the limit meets; of that, what splits of full buckets may keep at least.
+RECALL, INNER = 0.9, 0.9
+BASE_BITS = 8
+BUCKET, BUCKET_CAP = 1024, 4096
 SEED = 9
 
 _LANES = np.zeros((256, 8), np.uint8)
@@ -103,7 +105,28 @@ def _fingerprinted(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*map(col, keep), col(text)).mapInArrow(run, schema)
 
 
-def orders(tables: int = TABLES, seed: int = SEED) -> list[list[int]]:
+def meets(distance: int, bits: int, used: int = 0) -> float:
+    """Probability that two points agree in more sampled bits, given that they agree in those used."""
+    left = BITS - used
+    return math.prod(max(0, left - distance - i) / (left - i) for i in range(bits))
+
+
+def enough(distance: int, bits: int, recall: float, used: int = 0, each: float = 1.0) -> int:
+    """Tables in one of which a pair meets with that probability; each: what a table keeps of the pairs that meet in it."""
+    p = each * meets(distance, bits, used)
+    if not p:
+        raise ValueError(f"points {distance} bits apart never agree in {bits} more")
+    return 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log1p(-p))
+
+
+def plan(points: int, max_distance: int = MAX_DISTANCE) -> tuple[int, int]:
+    """Bits and tables for so many points."""
+    most = max(b for b in range(1, 25) if b <= BASE_BITS or meets(max_distance, b) > 1e-3)
+    bits = min(max(BASE_BITS, math.ceil(math.log2(max(1, points) / BUCKET))), most)
+    return bits, enough(max_distance, bits, RECALL, each=INNER)
+
+
+def orders(tables: int, seed: int = SEED) -> list[list[int]]:
     """For each table, all coordinates in a random order; a prefix of it is its sample."""
     rng = np.random.default_rng(seed)
     return [[int(x) for x in rng.permutation(BITS)] for _ in range(tables)]
@@ -146,31 +169,93 @@ def _linked(fp: np.ndarray, rows: np.ndarray, max_distance: int) -> tuple[np.nda
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def edges(points: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TABLES, base: int = BASE_BITS, cap: int = BUCKET_CAP, seed: int = SEED) -> DataFrame:
+#: Rows compared at a time with all others of a bucket, and points of a full bucket compared with all of it before a split.
+_BLOCK, _PIVOTS = 32, 16
+
+
+def _distances(fp: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(fp[a, k][..., None] ^ fp[b, k]) for k in range(fp.shape[1]))
+
+
+def _compared(fp: np.ndarray, rows: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs that connect what is connected among these rows, of all their pairs."""
+    own, n = fp[rows], len(rows)
+    left, right, total, near = [], [], 0, np.zeros(n, bool)
+    for i in range(0, n, _BLOCK):
+        hit = _distances(own, np.arange(i, min(i + _BLOCK, n)), np.arange(i, n)) <= max_distance
+        x, y = np.nonzero(np.triu(hit, 1))
+        near[x + i] = near[y + i] = True
+        total += len(x)
+        if total <= 4 * n:
+            left.append(rows[x + i])
+            right.append(rows[y + i])
+    if total > 4 * n:
+        return _linked(fp, rows[near], max_distance)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _split(fp: np.ndarray, used: list[int], max_distance: int, cap: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _compared() for a bucket beyond the cap, whose points agree in the bits used."""
+    rng = np.random.default_rng(seed)
+    group = np.arange(len(fp))
+    got: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def visit(rows: np.ndarray, used: list[int], level: int) -> None:
+        n = len(rows)
+        if (group[rows] == group[rows[0]]).all():
+            return
+        bits = math.ceil(math.log2(n / cap)) + 1
+        free = np.setdiff1d(np.arange(BITS), used)
+        if n <= cap or level > 3 or not meets(max_distance, bits, len(used)):
+            got.append(_compared(fp, rows, max_distance))
+            return
+        for w in rng.choice(rows, _PIVOTS, replace=False):
+            near = rows[_distances(fp, w, rows) <= max_distance]
+            got.append((np.full(len(near), w), near))
+            group[np.isin(group, np.unique(group[near]))] = group[w]
+        # One large group and few others: these are compared with all.
+        names, count = np.unique(group[rows], return_counts=True)
+        big = group[rows] == names[count.argmax()]
+        rest, most = rows[~big], rows[big]
+        if len(rest) * n <= 2 * cap * cap:
+            for w in rest:
+                near = most[_distances(fp, w, most) <= max_distance][:1]
+                got.append((np.full(len(near), w), near))
+            if len(rest):
+                got.append(_compared(fp, rest, max_distance))
+            return
+        for _ in range(enough(max_distance, bits, 1 - (1 - INNER) / 2 ** (level + 1), len(used))):
+            more = rng.choice(free, bits, replace=False)
+            k = sum(((fp[rows, p // 64] >> np.uint64(p % 64)).astype(np.int64) & 1) << i for i, p in enumerate(more))
+            by = np.argsort(k, kind="stable")
+            for part in np.split(rows[by], np.flatnonzero(np.diff(k[by])) + 1):
+                if len(part) > 1:
+                    visit(part, [*used, *more], level + 1)
+
+    visit(np.arange(len(fp)), used, 0)
+    left, right = (np.concatenate(x) for x in zip(*got))
+    return left[left != right], right[left != right]
+
+
+def edges(points: DataFrame, max_distance: int = MAX_DISTANCE, tables: int | None = None, base: int | None = None, cap: int = BUCKET_CAP, seed: int = SEED, count: int | None = None) -> DataFrame:
     """Verified pairs (a, b) of fingerprints that link what some bucket holds of each group.
 
-    points: the fingerprint's columns. One shuffle brings each table's buckets together; in a bucket the
-    split by further bits and the verification are array work on the fingerprints alone. Of a bucket's
-    verified pairs only a spanning forest is returned: the same components, no squares.
+    points: the fingerprint's columns; count: how many at most, if known. One shuffle brings each table's
+    buckets together; in a bucket splits and the verification are array work on the fingerprints alone.
+    Of a full bucket's verified pairs only a spanning forest is returned: the same components, no squares.
     """
+    if base is None:
+        base = plan(points.count() if count is None else count, max_distance)[0]
+    if tables is None:
+        tables = enough(max_distance, base, RECALL, each=INNER)
     all_orders = orders(tables, seed)
     keys = F.array(*(_bits(o, 0, base) * tables + t for t, o in enumerate(all_orders)))
     spread = points.select(*_FP, F.explode(keys).alias(OWN + "key"))
 
-    def link(key: int, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        order = all_orders[key % tables]
-        heap, got = [(np.arange(len(fp)), base)], []
-        while heap:
-            rows, used = heap.pop()
-            if len(rows) > cap and used < BITS:
-                more = np.zeros(len(rows), np.int64)
-                for i, p in enumerate(order[used : used + STEP]):
-                    more |= ((fp[rows, p // 64] >> np.uint64(p % 64)).astype(np.int64) & 1) << i
-                by = np.argsort(more, kind="stable")
-                heap += [(x, used + STEP) for x in np.split(rows[by], np.flatnonzero(np.diff(more[by])) + 1) if len(x) > 1]
-            else:
-                got.append(_linked(fp, rows, max_distance))
-        return got
+    def link(key: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(fp) <= cap:
+            return _compared(fp, np.arange(len(fp)), max_distance)
+        return _split(fp, all_orders[key % tables][:base], max_distance, cap, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Buckets come one after the other; the last of a batch may go on in the next.
@@ -196,9 +281,9 @@ def edges(points: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TAB
                 left.append(rows)
                 right.append(rows + step)
             for lo, n in zip(begin[size > _SMALL], size[size > _SMALL]):
-                for x, y in link(int(key[lo]), fp[lo : lo + n]):
-                    left.append(x + lo)
-                    right.append(y + lo)
+                x, y = link(int(key[lo]), fp[lo : lo + n])
+                left.append(x + lo)
+                right.append(y + lo)
             if left:
                 yield from _table(fp, np.concatenate(left), np.concatenate(right)).to_batches()
             fp, key = fp[done:], key[done:]
@@ -230,7 +315,7 @@ def components(links: DataFrame) -> DataFrame:
 def grouped(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row for every row of df whose text has a word: key, row hash, fingerprint and its group's least."""
     rows = cut(_fingerprinted(df.select(col(key), row_hash(df).alias(OWN + "row"), col(text)), text, [key, OWN + "row"]))
-    roots = components(edges(rows.select(*_FP).distinct(), **how))
+    roots = components(edges(rows.select(*_FP).distinct(), **{"count": rows.count()} | how))
     point = F.struct(*(col(c).alias(n) for c, n in zip(_FP, "xy")))
     placed = rows.withColumn(OWN + "point", point).join(roots, col(OWN + "point") == col("node"), "left")
     return placed.select(col(key), OWN + "row", *_FP, F.coalesce("root", OWN + "point").alias(OWN + "root"))

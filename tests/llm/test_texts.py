@@ -52,6 +52,26 @@ def test_a_bucket_of_one_group_beyond_the_cap_is_linked(spark):
     assert simhash.deduplicate(df).count() <= 6
 
 
+def test_tables_keep_recall_at_any_size():
+    for points in (10, 50_000, 250_000, 9_400_000, 10**9):
+        bits, tables = simhash.plan(points)
+        assert 1 - (1 - simhash.INNER * simhash.meets(simhash.MAX_DISTANCE, bits)) ** tables >= simhash.RECALL
+    assert 9_400_000 / 2 ** simhash.plan(9_400_000)[0] <= simhash.BUCKET
+
+
+def test_a_full_bucket_keeps_pairs_at_the_limit():
+    rng = np.random.default_rng(1)
+    n = 1500
+    a = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64) & ~np.uint64(255)
+    b = a.copy()
+    for i in range(n):
+        for p in rng.choice(np.arange(8, 128), simhash.MAX_DISTANCE, replace=False):
+            b[i, p // 64] ^= np.uint64(1 << (int(p) % 64))
+    left, right = simhash._split(np.concatenate([a, b]), list(range(8)), simhash.MAX_DISTANCE, 64, 0)
+    found = {(min(x, y), max(x, y)) for x, y in zip(left.tolist(), right.tolist())}
+    assert sum((i, i + n) in found for i in range(n)) >= 0.9 * n
+
+
 def test_vote_lanes_match_a_plain_sum():
     from lexweave.llm import words
 
