@@ -36,7 +36,7 @@ from .common import OWN, col, cut, row_hash, without
 
 BITS = 128
 WORDS = 2
-MAX_DISTANCE = 20
+MAX_DISTANCE = 28
 #: Least probability that a pair at the limit meets; of that, what splits of full buckets may keep at least.
 RECALL, INNER = 0.9, 0.9
 BASE_BITS = 8

@@ -52,6 +52,19 @@ def test_a_bucket_of_one_group_beyond_the_cap_is_linked(spark):
     assert simhash.deduplicate(df).count() <= 6
 
 
+def test_near_copies_by_words_are_in_one_group(spark):
+    r = random.Random(11)
+    rows = []
+    for g in range(150):
+        base = prose(5000 + g, 220).split()
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(w if r.random() > 0.07 else prose(r.randrange(10**6), 1) for w in base))]
+    sets = [set(toks(t)) for _, t in rows]
+    near = [g for g in range(150) if len(sets[2 * g] & sets[2 * g + 1]) >= 0.7 * len(sets[2 * g] | sets[2 * g + 1])]
+    got = {x.doc_id: x.duplicate_of for x in simhash.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 100 and sum(got.get(2 * g + 1) == 2 * g for g in near) >= 0.9 * len(near)
+    assert all(a // 2 == b // 2 for a, b in got.items())
+
+
 def test_tables_keep_recall_at_any_size():
     for points in (10, 50_000, 250_000, 9_400_000, 10**9):
         bits, tables = simhash.plan(points)
