@@ -52,11 +52,12 @@ LEXICON = {
         töten umbringen erschießen erstechen verprügeln vernichten
         tuer étrangler poignarder frapper détruire massacrer égorger
         matar estrangular apuñalar golpear destruir""",
-    INTENT: """will gonna going shall must should want wanna i'll ill
+    INTENT: """will gonna going shall must should want wanna i'll we'll you'll he'll she'll they'll ill
         werde werden wirst muss sollte vais allons va devrais veux voy vamos debería quiero""",
     TARGET: """you your you're youre yourself yourselves u ur they them he she him her this these those people
         du dich dir dein deine ihr euch sie tu te toi vous votre tes tú ti te usted ustedes vosotros""",
     NEGATION: """not never no isn't isnt aren't arent don't dont cannot can't without nobody
+        doesn't didn't won't wouldn't wasn't weren't couldn't shouldn't hasn't haven't hadn't mustn't ain't
         nicht kein keine keinen nie niemals pas jamais aucun nunca jamás ningún""",
     REPORT: """said says say called calls reported reports quoted quotes claimed claims wrote writes according allegedly
         sagte sagt behauptete berichtete schrieb zitierte laut prétend déclaré rapporte écrit selon
@@ -66,6 +67,8 @@ LEXICON = {
 W_INSULT, W_DOUBT, W_TARGET, W_MARKED = 1.0, 0.5, 0.5, 0.2
 W_THREAT, W_AIMED, W_MEANT = 0.2, 1.0, 2.0
 BREAKS = b".!?;\n|"
+#: Apostrophes that are letters to words.py; the ASCII one parts a contraction in two words.
+APOSTROPHES = "\u2019\u2018\u02bc"
 
 
 class Transducer:
@@ -163,7 +166,11 @@ class Lexicon:
     """Symbols of words: by the hash of the whole word, else by its first bytes."""
 
     def __init__(self, stems: dict[bytes, int]):
-        by = {words.word_hash(w): s for s, text in sorted(LEXICON.items(), reverse=True) for w in text.split() if "'" not in w}
+        listed = [(w, s) for s, text in sorted(LEXICON.items(), reverse=True) for w in text.split()]
+        whole = [(w.replace("'", a), s) for w, s in listed for a in (APOSTROPHES if "'" in w else "'")]
+        by = {words.word_hash(w): s for w, s in whole}
+        #: Contractions by the hashes of their two words; the second has the symbol, the first keeps its own.
+        self.pairs = {tuple(map(words.word_hash, w.split("'"))): s for w, s in listed if "'" in w}
         self.hash = np.array(sorted(by), np.uint64)
         self.symbol = np.array([by[int(h)] for h in self.hash], np.int8)
         self.stems = {}
@@ -178,6 +185,10 @@ class Lexicon:
         k, known = words.member(b.hash, self.hash)
         out = np.zeros(len(b.hash), np.int8)
         out[known] = self.symbol[k[known]]
+        joint = np.flatnonzero((b.start[1:] == b.end[:-1] + 1) & (b.doc[1:] == b.doc[:-1]))
+        joint = joint[b.col.data[b.end[joint]] == ord("'")]
+        for i, pair in zip(joint.tolist(), zip(b.hash[joint].tolist(), b.hash[joint + 1].tolist())):
+            out[i + 1] = self.pairs.get(pair, out[i + 1])
         if self.stems:
             head, size = heads(b)
             maybe = np.flatnonzero(self.begins[(head & np.uint64(0xFFFF)).astype(np.int64)] & (out == 0))

@@ -204,6 +204,16 @@ def test_clauses_are_scored_and_not_words():
     assert clause("nothing to see here") == 0 and clause("") == 0
 
 
+def test_contractions_have_their_symbols():
+    for a in "'\u2019":
+        assert clause(f"you aren{a}t an idiot") == clause("you are not an idiot") < 1
+        assert clause(f"He ISN{a}T a moron") < 1 and clause(f"they didn{a}t kill you") < 1
+        assert clause(f"I{a}ll kill you") >= 2 and clause(f"we{a}ll kill you") >= 2
+    got, _ = toxicity.score(pa.array(["you aren'", "t idiot"]), toxicity.Lexicon({}))
+    assert got.tolist() == [0, 1]
+    assert clause("it aren t idiot") >= 1  # no apostrophe
+
+
 def test_composed_machine_matches_the_cascade():
     r = random.Random(2)
     for _ in range(300):
