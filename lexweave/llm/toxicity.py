@@ -215,7 +215,12 @@ def heads(b: words.Batch) -> tuple[np.ndarray, np.ndarray]:
 
 def score(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Score and number of matched clauses of every text."""
-    out, clauses = np.zeros(len(texts)), np.zeros(len(texts), np.int32)
+    return _clauses(texts, lexicon)[:2]
+
+
+def _clauses(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, number of matched clauses and score of the strongest clause of every text."""
+    out, clauses, strongest = np.zeros(len(texts)), np.zeros(len(texts), np.int32), np.zeros(len(texts))
     is_break = np.zeros(256, bool)
     is_break[list(BREAKS)] = True
     for b in words.batches(texts):
@@ -233,9 +238,11 @@ def score(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
         for lo, hi in zip(first.tolist(), last.tolist()):
             got = score_symbols(symbol[lo:hi].tolist())
             if got > 0:
-                out[b.first + b.doc[lo]] += got
-                clauses[b.first + b.doc[lo]] += 1
-    return np.round(out, 4), clauses
+                row = b.first + b.doc[lo]
+                out[row] += got
+                clauses[row] += 1
+                strongest[row] = max(strongest[row], got)
+    return np.round(out, 4), clauses, np.round(strongest, 4)
 
 
 def learn(texts: list[pa.Array], toxic: np.ndarray, support: int = SUPPORT) -> dict[bytes, int]:
@@ -306,16 +313,16 @@ def fit(documents: DataFrame, labels: DataFrame | None, key: str = "doc_id", tex
 
 
 def scored(df: DataFrame, stems: dict[bytes, int], text: str = "text") -> DataFrame:
-    """df with toxic_score and toxic_clauses."""
-    df = without(df, "toxic_score", "toxic_clauses")
+    """df with toxic_score and toxic_clauses, and toxic_strongest, the score of the strongest clause, which decides."""
+    df = without(df, "toxic_score", "toxic_clauses", "toxic_strongest")
     at = df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_clauses", T.IntegerType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_clauses", T.IntegerType()), T.StructField("toxic_strongest", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(stems)
         for batch in batches:
-            s, n = score(batch.column(at), lexicon)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(n)], names=[*batch.schema.names, "toxic_score", "toxic_clauses"])
+            s, n, top = _clauses(batch.column(at), lexicon)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(n), pa.array(top)], names=[*batch.schema.names, "toxic_score", "toxic_clauses", "toxic_strongest"])
 
     return df.mapInArrow(run, schema)
 
@@ -332,15 +339,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def found(df: DataFrame, stems: dict[bytes, int], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, toxic_score and toxic_clauses of the documents that reach the threshold. Texts don't leave Python."""
+    """key, toxic_score and toxic_clauses of the documents of which a clause reaches the threshold. Texts don't leave Python."""
     schema = T.StructType([df.schema[key], T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_clauses", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(stems)
         for batch in batches:
-            s, n = score(batch.column(1), lexicon)
+            s, n, top = _clauses(batch.column(1), lexicon)
             got = pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(n)], names=[key, "toxic_score", "toxic_clauses"])
-            yield got.filter(pa.array(s >= threshold))
+            yield got.filter(pa.array(top >= threshold))
 
     return df.select(col(key), col(text)).mapInArrow(run, schema)
 
@@ -352,6 +359,6 @@ def reject(df: DataFrame, stems: dict[bytes, int], text: str = "text", threshold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(stems)
         for batch in batches:
-            yield batch.filter(pa.array(score(batch.column(at), lexicon)[0] < threshold))
+            yield batch.filter(pa.array(_clauses(batch.column(at), lexicon)[2] < threshold))
 
     return df.mapInArrow(run, df.schema)

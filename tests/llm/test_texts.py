@@ -253,6 +253,15 @@ def test_stems_are_learned_and_held_out_rows_are_caught(spark):
     assert found <= bad and len(found) >= 0.95 * len(bad)  # the odd one stands behind a "no"
 
 
+def test_many_weak_clauses_do_not_add_up(spark):
+    weak = "\n".join(prose(i, 30) + ". how to kill a process. she said you are a moron. " for i in range(400))
+    df = spark.createDataFrame([(1, weak), (2, weak + "I will kill you."), (3, "you are an idiot")], "doc_id long, text string")
+    assert clause(weak) > 100
+    assert [x.doc_id for x in toxicity.reject(df, {}).collect()] == [1]
+    assert {x.doc_id for x in toxicity.found(df, {}).collect()} == {2, 3}
+    assert {x.doc_id for x in toxicity.scored(df, {}).filter(f"toxic_strongest >= {toxicity.THRESHOLD}").collect()} == {2, 3}
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
     stems = toxicity.fit(odd, labels)
