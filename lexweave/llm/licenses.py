@@ -1,6 +1,7 @@
 """License scan by an exact set-similarity join with license templates.
 
-A block is a line of a text, a set of words. It matches a template if it contains at
+A block is a line of a text, or with paragraphs=True consecutive lines that each have a word, so that notices
+which wrap are found, behind comment marks too; a block is a set of words. It matches a template if it contains at
 least THRESHOLD of the template's words. Words are ordered by how rare they are in
 the whole corpus. With o the words that must be common:
 prefix filter: a match holds one of the template's len - o + 1 rarest words;
@@ -11,7 +12,7 @@ Every pair that passes is verified, so the result is exact.
 Two passes over the texts: one counts the vocabulary's words in all blocks, one joins. Templates are a
 parameter and travel to the workers; they do not grow with the corpus.
 
-Defined cases: null and empty texts have no blocks; blocks count from 0 with empty lines; a word repeated in a
+Defined cases: null and empty texts have no blocks; blocks count from 0 with empty lines (a paragraph has the number of its first line); a word repeated in a
 line counts once; templates without words match nothing; repeated rows match each.
 """
 
@@ -87,22 +88,26 @@ class Index:
                 self.prefix[r, k] = i
 
 
-def _blocks(b: words.Batch, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _blocks(b: words.Batch, index: Index, paragraphs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, block and rank of every word of the vocabulary, once for each block, in that order."""
     k, known = words.member(b.hash, index.hash)
-    at = np.flatnonzero(known)
+    at = np.arange(len(b.hash)) if paragraphs else np.flatnonzero(known)
     base, end = int(b.col.offsets[0]), int(b.col.offsets[-1])
     line_ends = np.flatnonzero(b.col.data[base:end] == 10) + base
     line = np.searchsorted(line_ends, b.start[at]) - np.searchsorted(line_ends, b.col.offsets[b.doc[at]])
+    if paragraphs and len(at):
+        begin = np.concatenate([[True], (b.doc[1:] != b.doc[:-1]) | (np.diff(line) > 1)])
+        line = line[begin][np.cumsum(begin) - 1][known]
+        at = np.flatnonzero(known)
     rows = np.unique(np.stack([b.doc[at], line, index.rank[k[at]]], 1), axis=0) if len(at) else np.zeros((0, 3), np.int64)
     return rows[:, 0], rows[:, 1], rows[:, 2]
 
 
-def join(texts: pa.Array, index: Index) -> tuple[np.ndarray, ...]:
+def join(texts: pa.Array, index: Index, paragraphs: bool = False) -> tuple[np.ndarray, ...]:
     """Row, block, template and overlap of every match."""
     found = [np.zeros((0, 4), np.int64)]
     for b in words.batches(texts):
-        doc, block, rank = _blocks(b, index)
+        doc, block, rank = _blocks(b, index, paragraphs)
         if not len(doc):
             continue
         begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])]))
@@ -128,7 +133,7 @@ def join(texts: pa.Array, index: Index) -> tuple[np.ndarray, ...]:
     return tuple(got[:, k] for k in range(4))
 
 
-def frequencies(df: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES) -> dict[int, int]:
+def frequencies(df: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, paragraphs: bool = False) -> dict[int, int]:
     """In how many blocks of the whole corpus each word of the templates is."""
     index = Index(templates, {}, 1.0)
 
@@ -136,25 +141,25 @@ def frequencies(df: DataFrame, text: str = "text", templates: dict[str, str] = T
         total = np.zeros(len(index.hash), np.int64)
         for batch in batches:
             for b in words.batches(batch.column(0)):
-                total += np.bincount(_blocks(b, index)[2], minlength=len(total))
+                total += np.bincount(_blocks(b, index, paragraphs)[2], minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["rank", "n"])
 
     rows = df.select(col(text)).mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
     return {int(h): n for h, n in zip(index.hash[np.argsort(index.rank)], [r.n for r in sorted(rows)])} if rows else {}
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, paragraphs: bool = False) -> DataFrame:
     """key, block, template, overlap and containment of every match."""
     if not any(tokens(t) for t in templates.values()):
         templates = {}
-    index = Index(templates, frequencies(df, text, templates), threshold) if templates else None
+    index = Index(templates, frequencies(df, text, templates, paragraphs), threshold) if templates else None
     schema = T.StructType([df.schema[key], *(T.StructField(n, t) for n, t in (("block", T.IntegerType()), ("template", T.StringType()), ("overlap", T.IntegerType()), ("containment", T.DoubleType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if index is None:
                 continue
-            row, block, template, overlap = join(batch.column(1), index)
+            row, block, template, overlap = join(batch.column(1), index, paragraphs)
             names = pa.array([index.names[t] for t in template], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(block, pa.int32()), names, pa.array(overlap, pa.int32()), pa.array(overlap / index.size[template])], names=schema.names)
 

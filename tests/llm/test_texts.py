@@ -355,6 +355,28 @@ def test_license_join_is_exact(spark):
         assert {(x.doc_id, x.block, x.template, x.overlap) for x in got} == want and len(got) == len(want)
 
 
+def test_wrapped_notices_are_found(spark):
+    mit = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+    bsd = """# Copyright (c) 2020, Somebody
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#"""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+    apart = bsd.replace("without\n#", "without\n#\n#")
+    df = spark.createDataFrame(list(enumerate([mit, bsd, gpl, apart, "", None])), "doc_id long, text string")
+    got = {(x.doc_id, x.block, x.template) for x in licenses.scan(df, paragraphs=True).collect()}
+    assert got == {(0, 2, "mit-grant"), (1, 2, "bsd"), (2, 0, "gpl-notice"), (2, 0, "gpl-3.0")}
+    assert licenses.scan(df).count() == 0
+
+
 def test_licenses_of_odd_rows(odd, empty):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
     assert licenses.scan(odd, templates={"none": "..."}).count() == 0
