@@ -1,13 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, doubtful insult, threat verb, intent, target, negation,
-reporting verb, other). A cascade of transducers reads a clause's symbols:
-negation marks what follows it within REACH words, reported speech marks what follows it
-in the clause, and the insult and threat transducers give weights that depend on a
-target in the same clause. The cascade is composed into one machine, which scores
-every clause that holds an insult or a threat verb; other clauses score 0 by
-construction. A document's score is the sum over its clauses; from THRESHOLD
-on it is toxic. A lone insult word counts fully, a negated or reported one hardly.
+Words become symbols (insult, doubtful insult, threat verb, intent, second and third person,
+pronoun that stands before its verb, copula, determiner, negation, reporting verb, other). Transducers read
+a clause's symbols: negation marks what follows it within REACH words, reported speech marks what follows it
+in the clause; both are composed with the insult and with the threat transducer into two machines, which walk all
+clauses that hold an insult or a threat verb at once; other clauses score 0 by construction. A clause's score is the sum of both.
+
+An insult alone stays below THRESHOLD. It reaches it if it is aimed: beside a second person ("you idiot") or behind a
+person's copula ("he is a moron"). A threat verb needs a person as its object, with no determiner between
+("kill the process you started" is none). Negated or reported, neither counts for much.
+A document is toxic if its strongest clause reaches THRESHOLD, or if insults that are neither negated nor reported pile up: every one adds its
+weight to a level that halves every HALF words. Words with innocent senses (AMBIGUOUS) and doubtful ones add to it once for each
+document, so that a text about trash stays; one lone word never suffices, be it seed or learned stem.
 
 The insult lexicon is a seed list in four languages and stems learned from labelled rows: word
 heads (STEM_BYTES) seen in at least SUPPORT contexts of toxic documents and
@@ -36,9 +40,10 @@ FIT_ROWS = 12_000
 SUPPORT = 6
 STEM_BYTES = (4, 5, 6, 7, 8)
 SURE, DOUBTFUL = 0.02, 0.2
-REACH = 3
+REACH = 5
+HALF = 400
 
-OTHER, INSULT, DOUBT, THREAT, INTENT, TARGET, NEGATION, REPORT, END = range(9)
+OTHER, INSULT, DOUBT, THREAT, INTENT, YOU, THEY, BEFORE, COPULA, YOU_ARE, DETERMINER, NEGATION, REPORT, END = range(14)
 #: Marked forms of INSULT, DOUBT and THREAT.
 NEGATED, REPORTED = 16, 32
 
@@ -54,8 +59,12 @@ LEXICON = {
         matar estrangular apuñalar golpear destruir""",
     INTENT: """will gonna going shall must should want wanna i'll we'll you'll he'll she'll they'll ill
         werde werden wirst muss sollte vais allons va devrais veux voy vamos debería quiero""",
-    TARGET: """you your you're youre yourself yourselves u ur they them he she him her this these those people
-        du dich dir dein deine ihr euch sie tu te toi vous votre tes tú ti te usted ustedes vosotros""",
+    YOU: """you your you're youre yourself yourselves u ur du dein deine ihr tu toi tes tú usted ustedes vosotros""",
+    THEY: "they them he him she her er ihn ihnen il elle ils elles lui eux él ella ellos ellas",
+    BEFORE: "dich dir euch te vous ti os",
+    COPULA: "is are was were be being he's she's they're looks sounds ist sind war waren est sont était étaient es son era eran",
+    YOU_ARE: "bist seid êtes eres sois",
+    DETERMINER: "the a an this that these those my our its der die das den dem des ein eine einen le la les un une ce cet cette el los las una",
     NEGATION: """not never no isn't isnt aren't arent don't dont cannot can't without nobody
         doesn't didn't won't wouldn't wasn't weren't couldn't shouldn't hasn't haven't hadn't mustn't ain't
         nicht kein keine keinen nie niemals pas jamais aucun nunca jamás ningún""",
@@ -63,9 +72,13 @@ LEXICON = {
         sagte sagt behauptete berichtete schrieb zitierte laut prétend déclaré rapporte écrit selon
         dijo dice llamó afirmó escribió según""",
 }
-#: Weights: an insult by itself, what a target adds; a threat verb by itself, with a target, with a target and intent.
-W_INSULT, W_DOUBT, W_TARGET, W_MARKED = 1.0, 0.5, 0.5, 0.2
+AMBIGUOUS = "pathetic clown clowns trash loser losers worthless disgusting vermin ordure débile escoria basura"
+#: Weights: an insult by itself, a doubtful one, what aiming adds (as a factor), the factor of what is negated or
+#: reported; a threat verb by itself, with an object, with an object and intent.
+W_INSULT, W_DOUBT, W_TARGET, W_MARKED = 0.6, 0.4, 1.0, 0.2
 W_THREAT, W_AIMED, W_MEANT = 0.2, 1.0, 2.0
+#: How many words a second person, a person before its copula, a copula, and a pronoun before its verb or after it may be away.
+BESIDE, WHO, SAID_OF, LEFT, RIGHT = 2, 2, 4, 3, 3
 BREAKS = b".!?;\n|"
 #: Apostrophes that are letters to words.py; the ASCII one parts a contraction in two words.
 APOSTROPHES = "\u2019\u2018\u02bc"
@@ -121,45 +134,86 @@ def _report(on, symbol):
 
 
 def _insult(state, symbol):
-    """state: a target was seen; weight an insult is still owed for one."""
-    aimed, owed = state
-    if symbol & 15 in (INSULT, DOUBT):
-        w = W_INSULT if symbol & 15 == INSULT else W_DOUBT
-        w *= W_MARKED if symbol & (NEGATED | REPORTED) else 1.0
-        return (aimed, owed if aimed else round(max(owed, w), 4)), symbol, w * (1 + W_TARGET * aimed)
-    if symbol == TARGET:
-        return (True, 0.0), symbol, owed * W_TARGET
-    return state, symbol, 0.0
+    """state: words left beside a second person, to a person's copula, behind a copula; an insult's weight still to be aimed, and for how long."""
+    beside, who, said_of, owed, left = state
+    kind, w = symbol & 15, 0.0
+    aimed = bool(beside or said_of)
+    beside, who, said_of, left = max(0, beside - 1), max(0, who - 1), max(0, said_of - 1), max(0, left - 1)
+    if kind in (INSULT, DOUBT):
+        base = round((W_INSULT if kind == INSULT else W_DOUBT) * (W_MARKED if symbol & (NEGATED | REPORTED) else 1.0), 4)
+        w = base * (1 + W_TARGET * aimed)
+        owed, left = (0.0, 0) if aimed else (max(base, owed), BESIDE)
+        beside = max(beside, int(aimed))
+    elif kind in (YOU, BEFORE):
+        w = owed * W_TARGET
+        owed, left, beside, who = 0.0, 0, BESIDE, WHO
+    elif kind == THEY:
+        who = WHO
+    elif kind == YOU_ARE or kind == COPULA and who:
+        said_of = SAID_OF
+    return (beside, who, said_of, owed if left else 0.0, left), symbol, w
 
 
 def _threat(state, symbol):
-    """state: intent seen, target seen, factor of the strongest threat verb so far."""
-    meant, aimed, factor = state
-    before = _threat_weight(*state)
-    if symbol == INTENT and not factor:
+    """state: intent seen; words left behind a pronoun, behind the verb; object found; factor of the strongest verb so far."""
+    meant, behind, after, aimed, factor = state
+    before = _threat_weight(meant, aimed, factor)
+    kind = symbol & 15
+    was, behind, after = behind, max(0, behind - 1), after
+    if kind == INTENT and not factor:
         meant = True
-    elif symbol == TARGET:
-        aimed = True
-    elif symbol & 15 == THREAT:
+    elif kind == THREAT:
         factor = max(factor, W_MARKED if symbol & (NEGATED | REPORTED) else 1.0)
-    return (meant, aimed, factor), symbol, _threat_weight(meant, aimed, factor) - before
+        aimed, after = aimed or was > 0, RIGHT
+        return (meant, behind, after, aimed, factor), symbol, _threat_weight(meant, aimed, factor) - before
+    elif kind == DETERMINER:
+        after = 0
+    elif kind in (YOU, THEY, BEFORE) and after:
+        aimed = True
+    if kind == BEFORE:
+        behind = LEFT
+    return (meant, behind, max(0, after - 1), aimed, factor), symbol, _threat_weight(meant, aimed, factor) - before
 
 
 def _threat_weight(meant, aimed, factor):
     return factor * (W_MEANT if aimed and meant else W_AIMED if aimed else W_THREAT)
 
 
-GRAMMAR = Transducer(0, _negation) >> Transducer(False, _report) >> Transducer((False, 0.0), _insult) >> Transducer((False, False, 0.0), _threat)
-NEXT, WEIGHT = GRAMMAR.compiled(range(END))
+_MARKS = Transducer(0, _negation) >> Transducer(False, _report)
+GRAMMAR = (_MARKS >> Transducer((0, 0, 0, 0.0, 0), _insult), _MARKS >> Transducer((False, 0, 0, False, 0.0), _threat))
+#: The grammar's two machines, as tables (next state, weight).
+MACHINES = tuple(g.compiled(range(END)) for g in GRAMMAR)
+
+
+def walk(symbols: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score of each clause, its strongest insult or its threat, what the insult machine gives for each of its words, clause after clause).
+
+    All clauses go a word a step. An insult that a later word aims at somebody counts with what that word gives.
+    """
+    size = last - first
+    order = np.argsort(-size, kind="stable")
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    totals, peak, given = np.zeros((len(MACHINES), len(size))), np.zeros(len(size)), np.zeros(int(size.sum()))
+    state = [np.zeros(len(size), np.int32) for _ in MACHINES]
+    active, descending = len(size), size[order]
+    for t in range(int(size.max(initial=0))):
+        active = int(np.searchsorted(-descending[:active], -t, side="left"))
+        now = order[:active]
+        symbol = symbols[first[now] + t]
+        for m, (to, weight) in enumerate(MACHINES):
+            here = state[m][now]
+            w = weight[here, symbol]
+            totals[m, now] += w
+            state[m][now] = to[here, symbol]
+            if m == 0:
+                given[begin[now] + t] = w
+                peak[now] = np.maximum(peak[now], np.where((symbol == YOU) | (symbol == BEFORE), w * (1 + 1 / W_TARGET), w))
+    return totals.sum(0), np.maximum(peak, totals[1]), given
 
 
 def score_symbols(symbols: list[int]) -> float:
     """Score of one clause."""
-    state, total = 0, 0.0
-    for s in symbols:
-        total += WEIGHT[state, s]
-        state = NEXT[state, s]
-    return float(total)
+    return float(walk(np.array(symbols, np.int8), np.array([0]), np.array([len(symbols)]))[0][0])
 
 
 class Lexicon:
@@ -168,9 +222,10 @@ class Lexicon:
     def __init__(self, stems: dict[bytes, int]):
         listed = [(w, s) for s, text in sorted(LEXICON.items(), reverse=True) for w in text.split()]
         whole = [(w.replace("'", a), s) for w, s in listed for a in (APOSTROPHES if "'" in w else "'")]
-        by = {words.word_hash(w): s for w, s in whole}
+        by = {words.word_hash(w): s for w, s in whole if w.isalnum() or any(ord(x) > 127 for x in w)}
+        self.ambiguous = np.array(sorted(words.word_hash(w) for w in AMBIGUOUS.split()), np.uint64)
         #: Contractions by the hashes of their two words; the second has the symbol, the first keeps its own.
-        self.pairs = {tuple(map(words.word_hash, w.split("'"))): s for w, s in listed if "'" in w}
+        self.pairs = {tuple(map(words.word_hash, w.split("'"))): s for w, s in listed if "'" in w.strip("'")}
         self.hash = np.array(sorted(by), np.uint64)
         self.symbol = np.array([by[int(h)] for h in self.hash], np.int8)
         self.stems = {}
@@ -219,7 +274,7 @@ def score(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _clauses(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Score, number of matched clauses and score of the strongest clause of every text."""
+    """Score, number of matched clauses and strength of every text; strength is the strongest clause or the highest level of insults."""
     out, clauses, strongest = np.zeros(len(texts)), np.zeros(len(texts), np.int32), np.zeros(len(texts))
     is_break = np.zeros(256, bool)
     is_break[list(BREAKS)] = True
@@ -235,16 +290,35 @@ def _clauses(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray,
         k = np.unique(np.searchsorted(breaks, b.start[trigger], side="right"))
         first = np.searchsorted(b.start, np.where(k > 0, breaks[np.maximum(k - 1, 0)], base) if len(breaks) else np.full(len(k), base))
         last = np.searchsorted(b.start, np.append(breaks, b.col.offsets[-1])[k])
-        for lo, hi in zip(first.tolist(), last.tolist()):
-            got = score_symbols(symbol[lo:hi].tolist())
-            if got > 0:
-                row = b.first + b.doc[lo]
-                out[row] += got
-                clauses[row] += 1
-                strongest[row] = max(strongest[row], got)
+        got, peak, given = walk(symbol, first, last)
+        rows = b.first + b.doc[first]
+        hit = got > 1e-9
+        np.add.at(out, rows[hit], got[hit])
+        np.add.at(clauses, rows[hit], 1)
+        np.maximum.at(strongest, rows, peak)
+        place = np.repeat(first - np.concatenate([[0], np.cumsum(last - first)[:-1]]), last - first) + np.arange(len(given))
+        _levels(b, symbol, place, given, lexicon, strongest)
     return np.round(out, 4), clauses, np.round(strongest, 4)
 
 
+def _levels(b: words.Batch, symbol: np.ndarray, place: np.ndarray, given: np.ndarray, lexicon: Lexicon, strongest: np.ndarray) -> None:
+    """Raises strongest to the highest level of piled-up insults of each text."""
+    plain = ((symbol[place] == INSULT) & (given >= W_INSULT - 1e-9)) | ((symbol[place] == DOUBT) & (given >= W_DOUBT - 1e-9))
+    place = place[plain]
+    once = (symbol[place] == DOUBT) | words.member(b.hash[place], lexicon.ambiguous)[1]
+    row, level, last, seen = -1, 0.0, 0, set()
+    for i, d, h, o, doubt in zip(place.tolist(), b.doc[place].tolist(), b.hash[place].tolist(), once.tolist(), (symbol[place] == DOUBT).tolist()):
+        if d != row:
+            row, level, last, seen = d, 0.0, i, set()
+        if o:
+            if h in seen:
+                continue
+            seen.add(h)
+        level = level * 0.5 ** ((i - last) / HALF) + (W_DOUBT if doubt else W_INSULT)
+        last = i
+        strongest[b.first + d] = max(strongest[b.first + d], level)
+
+
 def learn(texts: list[pa.Array], toxic: np.ndarray, support: int = SUPPORT) -> dict[bytes, int]:
     """Stems with their symbol. toxic: of every text, in order."""
     stems: dict[bytes, tuple[int, int]] = {}
@@ -313,7 +387,7 @@ def fit(documents: DataFrame, labels: DataFrame | None, key: str = "doc_id", tex
 
 
 def scored(df: DataFrame, stems: dict[bytes, int], text: str = "text") -> DataFrame:
-    """df with toxic_score and toxic_clauses, and toxic_strongest, the score of the strongest clause, which decides."""
+    """df with toxic_score and toxic_clauses, and toxic_strongest, the strength that decides."""
     df = without(df, "toxic_score", "toxic_clauses", "toxic_strongest")
     at = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_clauses", T.IntegerType()), T.StructField("toxic_strongest", T.DoubleType())])
@@ -339,7 +413,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def found(df: DataFrame, stems: dict[bytes, int], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, toxic_score and toxic_clauses of the documents of which a clause reaches the threshold. Texts don't leave Python."""
+    """key, toxic_score and toxic_clauses of the documents whose strength reaches the threshold. Texts don't leave Python."""
     schema = T.StructType([df.schema[key], T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_clauses", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -193,35 +193,63 @@ def clause(text, stems=None):
     return float(s[0])
 
 
+def strength(text, stems=None):
+    return float(toxicity._clauses(pa.array([text]), toxicity.Lexicon(stems or {}))[2][0])
+
+
+INNOCENT = """the trash was collected on Monday|la basura se recoge los lunes|the clown danced at the circus|this is a pathetic fallacy in poetry|I will kill the process you started
+he isn't an idiot|you don't look like a moron|how to kill a process|she took the trash out|they said he is an idiot|people love the circus clown|the trash, the trash and more trash|you can shoot a film with this camera
+Der Clown war lustig|no soy un idiota|le clown est parti""".replace("\n", "|").split("|")
+TOXIC = """you idiot|you are an idiot|he is a moron|I'll kill you|we will murder them all|ich werde dich töten|je vais te tuer|te voy a matar|du bist ein arschloch|eres un imbécil|tu es un connard|idiot, you know|worthless clown
+an idiot and a moron met""".replace("\n", "|").split("|")
+
+
+def test_innocent_sentences_stay_and_insults_go():
+    assert [x for x in INNOCENT if strength(x) >= toxicity.THRESHOLD] == []
+    assert [x for x in TOXIC if strength(x) < toxicity.THRESHOLD] == []
+    assert strength("you don't look like a moron") < 1 and clause("I'll kill you") >= 2
+    assert strength("achtungwort", {b"achtung": toxicity.INSULT}) < 1 <= strength("you achtungwort", {b"achtung": toxicity.INSULT})
+
+
+def test_insults_pile_up_within_reach_of_one_another():
+    gap = lambda n: " tree" * n + ". "
+    assert strength("idiot" + gap(100) + "moron") >= 1 > strength("idiot" + gap(2000) + "moron")
+    assert strength(("the trash" + gap(5)) * 500) < 1  # one ambiguous word, however often
+    level = 0.6 * 0.5 ** (101 / toxicity.HALF) + 0.6
+    assert abs(strength("idiot" + gap(100) + "moron") - level) < 1e-3
+
+
 def test_clauses_are_scored_and_not_words():
-    assert clause("the idiot went home") >= 1
+    assert 0 < clause("the idiot went home") < 1
     assert clause("you are an idiot") > clause("an idiot")
     assert clause("he is not an idiot") < 1 and clause("she said you are a moron") < 1
     assert clause("I will kill you") >= 2 > clause("they kill them") >= 1
     assert clause("how to kill a process. you know") < 1
     assert clause("he will not kill you") < 1
-    assert clause("not so. idiot") >= 1  # negation ends with its clause
+    assert clause("not so. you idiot") >= 1  # negation ends with its clause
     assert clause("nothing to see here") == 0 and clause("") == 0
 
 
 def test_contractions_have_their_symbols():
     for a in "'\u2019":
-        assert clause(f"you aren{a}t an idiot") == clause("you are not an idiot") < 1
+        assert max(clause(f"you aren{a}t an idiot"), clause("you are not an idiot")) < 0.3
         assert clause(f"He ISN{a}T a moron") < 1 and clause(f"they didn{a}t kill you") < 1
         assert clause(f"I{a}ll kill you") >= 2 and clause(f"we{a}ll kill you") >= 2
     got, _ = toxicity.score(pa.array(["you aren'", "t idiot"]), toxicity.Lexicon({}))
-    assert got.tolist() == [0, 1]
-    assert clause("it aren t idiot") >= 1  # no apostrophe
+    assert got.tolist() == [0, 0.6]
+    assert clause("it aren t idiot") > clause("it aren't idiot")  # no apostrophe
 
 
 def test_composed_machine_matches_the_cascade():
     r = random.Random(2)
     for _ in range(300):
         symbols = [r.randrange(toxicity.END) for _ in range(r.randint(0, 12))]
-        state, total = toxicity.GRAMMAR.start, 0.0
-        for s in symbols:
-            state, _, w = toxicity.GRAMMAR.step(state, s)
-            total += w
+        total = 0.0
+        for machine in toxicity.GRAMMAR:
+            state = machine.start
+            for s in symbols:
+                state, _, w = machine.step(state, s)
+                total += w
         assert abs(total - toxicity.score_symbols(symbols)) < 1e-9
 
 
@@ -243,7 +271,8 @@ def test_stems_are_learned_and_held_out_rows_are_caught(spark):
         words = prose(1000 + i, 60).split()
         bad = i % 5 == 0
         if bad:
-            words.insert(r.randrange(60), "xqzor" + r.choice(["a", "ei", "um", "is"]))
+            for end in r.sample(["a", "ei", "um", "is"], 2):
+                words.insert(r.randrange(60), "xqzor" + end)
         rows.append((i, " ".join(words), int(bad)))
     docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(x[0], x[2]) for x in rows if x[0] % 2], "doc_id long, toxic int")
