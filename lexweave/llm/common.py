@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,10 +61,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A path for files of this run in the shared folder."""
-    return os.path.join(shared_folder(spark), f"lexweave-{what}-{uuid.uuid4().hex}")
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """What reads a URI or a local path, and the path in it."""
+    return pafs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
 
 
-def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def scratch(spark: SparkSession, what: str) -> str:
+    """A path for files of this run in the shared folder; what is there goes when the driver ends."""
+    path = os.path.join(shared_folder(spark), f"lexweave-{what}-{uuid.uuid4().hex}")
+    atexit.register(_delete, path)
+    return path
+
+
+def _delete(path: str) -> None:
+    try:
+        fs, folder = filesystem(path)
+        fs.delete_dir(folder)
+    except (OSError, pa.ArrowException):  # never written, or out of reach by now
+        pass
+
+
+def gathered(batches: Iterator[pa.RecordBatch], at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until the strings of a column have size bytes; none is divided."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        n = pc.sum(pc.binary_length(batch.column(at))).as_py() or 0
+        if held and count + n > size:
+            yield _one(held)
+            held, count = [], 0
+        held.append(batch)
+        count += n
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)

@@ -14,30 +14,50 @@ SAMPLE = 8
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Order of all suffixes by prefix doubling; every separator counts as a symbol of its own."""
+    """Order of all suffixes by prefix doubling; every separator counts as a symbol of its own.
+
+    A suffix's rank is the first place of its group; only groups of several suffixes are sorted on, by one sort of
+    (rank, rank of what follows, position) packed in 64 bits as long as n has 21 bits at most.
+    """
     n = len(seq)
     if n == 0:
         return np.zeros(0, np.int64)
+    if seq[-1] != 0:  # nothing lies beyond the last separator
+        got = suffix_array(np.append(seq, 0))
+        return got[got < n]
     gaps = np.flatnonzero(seq == 0)
-    first = seq.astype(np.int64) + len(gaps)
+    first = seq.astype(np.int64) + len(gaps) - 1
     first[gaps] = np.arange(len(gaps))
-    order = np.argsort(first, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], first[order][1:] != first[order][:-1]]))
-    step = 1
-    while rank.max() < n - 1:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        pair = rank * (n + 1) + after
-        order = np.argsort(pair, kind="stable")
-        rank[order] = np.cumsum(np.concatenate([[0], pair[order][1:] != pair[order][:-1]]))
+    size = np.bincount(first)
+    rank = (np.cumsum(size) - size)[first]
+    todo, step, bits = np.flatnonzero(size[first] > 1), 1, n.bit_length()
+    while len(todo):
+        here, after = rank[todo].astype(np.uint64), rank[todo + step].astype(np.uint64)
+        if bits <= 21:
+            key = np.sort((here << np.uint64(2 * bits)) | (after << np.uint64(bits)) | todo.astype(np.uint64))
+            todo = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+            here, pair = (key >> np.uint64(2 * bits)).astype(np.int64), key >> np.uint64(bits)
+            new = pair[1:] != pair[:-1]
+        else:
+            order = np.lexsort((after, here))
+            todo, here, after = todo[order], here[order].astype(np.int64), after[order]
+            new = (here[1:] != here[:-1]) | (after[1:] != after[:-1])
+        begin = np.flatnonzero(np.concatenate([[True], new]))
+        group = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+        place = here + np.arange(len(todo)) - np.repeat(group, np.diff(np.append(group, len(todo))))
+        size = np.diff(np.append(begin, len(todo)))
+        rank[todo] = np.repeat(place[begin], size)
+        todo = todo[np.repeat(size, size) > 1]
         step *= 2
-    return np.argsort(rank)
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 class WaveletMatrix:
     def __init__(self, values: np.ndarray, width: int):
         self.n, self.rows = len(values), []
+        values = values.astype(np.int32 if width < 32 else np.int64)
         for level in range(width - 1, -1, -1):
             bits = ((values >> level) & 1).astype(np.uint8)
             packed = np.packbits(np.concatenate([bits, np.zeros(-len(bits) % 64 + 64, np.uint8)]), bitorder="little").view(np.uint64)

@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op1_sharding": sharding.oracle(),
     "op3_mixing": mixing.ORACLE,
     "op6_licenses": licenses.oracle(),
+    "op8_decontaminate": decontaminate.oracle(),
 }

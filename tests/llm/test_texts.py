@@ -130,14 +130,20 @@ def brute_spans(docs, items, n=8, least=4):
     for t in items:
         w = toks(t)
         size = min(n, len(w))
-        if size >= least:
-            known |= {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+        known |= {tuple(w[i : i + size]) for i in range(len(w) - size + 1) if size}
     out = []
     for row, t in docs:
-        found = [(m.group(), m.start(), m.end()) for m in WORD.finditer((t or "").lower())]
-        hits = sorted((found[i][1], found[i + len(p) - 1][2]) for p in known for i in range(len(found) - len(p) + 1) if tuple(x[0] for x in found[i : i + len(p)]) == p)
+        low = (t or "").lower()
+        found = [(m.group(), m.start(), m.end()) for m in WORD.finditer(low)]
+        whole = lambda s, e: not WORD.search(low[low.rfind("\n", 0, s) + 1 : s]) and not WORD.search((low[e:] + "\n").split("\n")[0]) and "\n" not in low[s:e]
+        hits = set()
+        for p in known:
+            for i in range(len(found) - len(p) + 1):
+                s, e = found[i][1], found[i + len(p) - 1][2]
+                if tuple(x[0] for x in found[i : i + len(p)]) == p and (len(p) >= least or whole(s, e)):
+                    hits.add((s, e))
         spans = []
-        for s, e in hits:
+        for s, e in sorted(hits):
             if spans and s <= spans[-1][1]:
                 spans[-1][1] = max(spans[-1][1], e)
             else:
@@ -154,7 +160,11 @@ def leaky(spark):
         if i % 3 == 0:
             leak = items[i % 6].upper().replace(" ", ",\n ")
             words[20:20] = [leak, "Été", leak] if i % 2 else [leak]
-        docs.append((i, " ".join(words)))
+        docs.append((i, " ".join(words) + (" two words" if i % 5 else "\n - Two, words.\nnext two words")))
+    # Items that overlap, of which one covers the head and one the tail of a passage.
+    run = prose(77, 30).split()
+    items += [" ".join(run[:18]), " ".join(run[12:])]
+    docs += [(100, "start here " + " ".join(run) + " end here"), (101, None), (102, ""), (103, "two words")]
     return docs, items
 
 
@@ -164,14 +174,37 @@ def test_spans_match_brute_force(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = brute_spans(docs, items)
     assert len(want) > 10
-    for size in (1 << 20, 100):
-        got = decontaminate.spans(df, bench, slice_bytes=size).collect()
+    for size in (1 << 20, 300, 20):  # words of a shard, as a long text is divided
+        got = decontaminate.spans(df, bench, shard_words=size).collect()
         assert sorted((r.doc_id, r.start, r.end) for r in got) == want
-    clean = {r.doc_id: r.text for r in decontaminate.remove(df, bench).collect()}
-    for i, t in docs:
-        for _, s, e in sorted((w for w in want if w[0] == i), reverse=True):
-            t = t[:s] + t[e:]
-        assert clean[i] == t
+        clean = {r.doc_id: r.text for r in decontaminate.remove(df, bench, shard_words=size).collect()}
+        assert set(clean) == {i for i, _ in docs} - {103}  # nothing but an item
+        for i, t in docs[:-1]:
+            for _, s, e in sorted((w for w in want if w[0] == i), reverse=True):
+                t = t[:s] + t[e:]
+            assert clean[i] == t
+    assert clean[100] == "start here  end here"
+
+
+def test_many_phrases_are_read_in_pieces(spark, monkeypatch):
+    docs, items = leaky(spark)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    path = decontaminate.written(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), "item_id", "text")
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    monkeypatch.setattr(decontaminate, "KEPT", 20)
+    known = decontaminate.reader(path)
+    for _ in range(3):
+        assert sum(len(x[1]) for x in known()) == spark.read.parquet(path).count() > 20
+    owner, s, e, _, _ = decontaminate.find(pa.array([t for _, t in docs]), known)
+    assert sorted(zip([docs[i][0] for i in owner], s.tolist(), e.tolist())) == brute_spans(docs, items) and df.count()
+
+
+def test_items_of_any_id(spark):
+    text = prose(61, 12)
+    docs = spark.createDataFrame([("a", f"x {text} y"), (None, text)], "doc_id string, text string")
+    for ids, kind, least in (([("q2", text), ("q1", text), (None, prose(62, 9))], "string", "q1"), ([(None, text)], "long", None), ([(None, text), (5, text), (4, text)], "int", 4)):
+        got = decontaminate.spans(docs, spark.createDataFrame(ids, f"item_id {kind}, text string")).collect()
+        assert {(r.doc_id, r.start, r.item, r.phrases) for r in got} == {("a", 2, least, 5), (None, 0, least, 5)}
 
 
 def test_decontamination_of_odd_rows(spark, odd, empty):
