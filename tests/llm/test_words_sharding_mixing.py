@@ -85,3 +85,33 @@ def test_mixing_of_odd_rows(odd, empty):
     assert mixing.mix(empty).count() == 0
     total = mixing.schedule(odd, budget_share=0.5).agg(F.sum("tokens")).first()[0] or 0
     assert total <= 0.5 * odd.select(F.sum(mixing.tokens(F.col("text")))).first()[0]
+
+
+def test_a_cut_between_equal_rows_keeps_what_was_drawn(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 3)
+    rows = [(1, "src0", "a b c")] * 10
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for share, want in ((0.5, 5), (0.99, 9), (1.0, 10), (0.0, 0)):
+        assert mixing.schedule(df, budget_share=share).count() == want
+        kept = mixing.mix(df, budget_share=share)
+        assert [tuple(r) for r in kept.collect()] == rows[:want]
+    mixed = rows + [(i, "src1" if i % 2 else None, "w " * (i % 7)) for i in range(50)] + [(None, None, None)] * 9
+    df = spark.createDataFrame(mixed, "doc_id long, source string, text string")
+    for share in (0.2, 0.6, 0.9):
+        drawn = mixing.schedule(df, budget_share=share)
+        counts = Counter((r.doc_id, r.source) for r in drawn.collect())
+        for limit in (100_000, 0):  # last keys broadcast, or joined by salted sources
+            assert Counter((r.doc_id, r.source) for r in mixing.mix(df, budget_share=share, broadcast_rows=limit).collect()) == counts
+        assert sorted(r.position for r in drawn.collect()) == list(range(1, sum(counts.values()) + 1))
+
+
+def test_ranges_are_even_whatever_the_weights(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'a', 'b') AS source", "'x y' AS text")
+    got = mixing.schedule(df, weights={"a": 0.001, "b": 1.0}, budget_share=1.0)
+    assert got.count() == 20_000
+    kept = mixing._ranged(
+        df.select(mixing.col("doc_id"), mixing.col("source").alias(mixing._S), mixing.shuffle_key(mixing.col("doc_id")), mixing.row_hash(df).alias(mixing._R), F.lit(2).cast("long").alias(mixing._T),
+                  F.lit(1).cast("long").alias(mixing._N), F.lit(0).cast("long").alias(mixing._I), F.when(mixing.col("source") == "a", F.col("doc_id") * 2000.0).otherwise(F.lit(7.0)).alias("finish_time"))
+    )
+    sizes = [r["count"] for r in kept.groupBy(mixing._RANGE).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * 20_000 / 4
