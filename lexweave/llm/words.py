@@ -185,7 +185,8 @@ class Batch(NamedTuple):
 def batches(texts: pa.Array | pa.ChunkedArray, size: int = 2 * PIECE, lower: bool = True) -> Iterator[Batch]:
     """The texts some megabytes at a time, never less than a whole text; doc counts from the batch's first row."""
     if isinstance(texts, pa.ChunkedArray):
-        texts = pa.concat_arrays(texts.cast(pa.large_string()).chunks) if texts.num_chunks else pa.array([], pa.large_string())
+        chunks = texts.cast(pa.large_string()).chunks
+        texts = pa.concat_arrays(chunks) if chunks else pa.array([], pa.large_string())
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):
         return
