@@ -61,6 +61,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Copies of a row that one task draws apart at a time. Rows of a key that are many, and the most keys that are broadcast for it.
+BLOCK, MANY, MOST = 4096, 100_000, 100_000
+
+
+def apart(df: DataFrame, count: str, copy: str, *keys: str) -> DataFrame:
+    """Every row as often as count says, with the number of each copy from 0, by way of blocks that many tasks share."""
+    block = OWN + "block"
+    blocks = df.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{count}` - 1) div {BLOCK}")))).repartition(*map(col, keys), col(block))
+    begin = col(block) * BLOCK
+    return blocks.withColumn(copy, F.explode(F.sequence(begin, F.least(begin + BLOCK, col(count)) - 1))).drop(block)
+
+
+def joined(rows: DataFrame, table: DataFrame, on: str, counts: DataFrame, total: int, many: int = MANY) -> DataFrame:
+    """rows left-joined with a table that has a key (on, never null) once. counts: (on, n) of rows, of which there are total.
+
+    Keys of more rows than many, and than total / MOST, of which there can't be more than MOST, are joined by broadcast, as they would all go to one task.
+    """
+    hot = cut(counts.filter(col("n") > max(many, total // MOST)).select(on))
+    if hot.isEmpty():
+        return rows.join(table, on, "left")
+    few = cut(table.join(F.broadcast(hot), on, "left_semi"))
+    return rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, "left").unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(table, on, "left"))
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """What reads a URI or a local path, and the path in it."""
     return pafs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))

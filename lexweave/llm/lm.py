@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import OWN, col, cut
+from .common import OWN, apart, col, cut
 
 LONGEST = 15
 BUCKETS = 2 * (LONGEST + 1)
@@ -54,7 +54,7 @@ TASKS = 20_000
 GRID = ((4, 24), (4, 24), (2, 40))
 CELLS = math.prod(steps * least + 2 for steps, least in GRID)
 ROUNDS = 60
-HOT, HOT_SHARE, BLOCK = 1000, 1_000_000, 4096
+HOT, HOT_SHARE = 1000, 1_000_000
 
 _BOS, _EOS = words.salt(101), words.salt(102)
 _CHUNK, _FOLD, _BLOB, _OWNER, _N, _H = (OWN + x for x in ("chunk", "fold", "blob", "owner", "copies", "hash"))
@@ -325,9 +325,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: i
     given = given.crossJoin(F.broadcast(weights))
     scored = docs.groupBy(_CHUNK).cogroup(given.groupBy(_CHUNK)).applyInArrow(mix, schema)
     if several:
-        block = OWN + "block"
-        blocks = scored.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{_N}` - 1) div {BLOCK}")))).repartition(col(key), col(block))
-        scored = blocks.withColumn(OWN + "copy", F.explode(F.sequence(col(block) * BLOCK, F.least((col(block) + 1) * BLOCK, col(_N)) - 1)))
+        scored = apart(scored, _N, OWN + "copy", key)
     return scored.select(col(key), "events", "bits")
 
 

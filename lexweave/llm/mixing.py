@@ -33,15 +33,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import OWN, col, cut, row_hash, without
+from .common import OWN, apart, col, cut, row_hash, without
 
 WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 2.0}
 DEFAULT_WEIGHT = 1.0
 BUDGET_SHARE = 0.8
 SEED = 29
 CELLS = 4096
-#: Copies of a row that one task draws apart at a time; the most last keys that are broadcast, and how many ways a source is salted beyond.
-BLOCK, BROADCAST_ROWS, SALTS = 4096, 100_000, 64
+#: The most last keys that are broadcast, and how many ways a source is salted beyond.
+BROADCAST_ROWS, SALTS = 100_000, 64
 
 _S, _K, _R, _T, _W, _CELL, _RANGE, _CUM, _N, _I, _AT = (OWN + x for x in ("source", "key", "row", "tokens", "weight", "cell", "range", "cum", "copies", "copy", "at"))
 
@@ -69,14 +69,6 @@ def _keys(df: DataFrame, key: str, source: str, text: str, weights: dict[str, fl
     ).filter(col(_W) > 0)
 
 
-def _apart(df: DataFrame, first: str = _I) -> DataFrame:
-    """Every row as often as its number of copies says, with the number of each copy from 0, by way of blocks that many tasks share."""
-    block = OWN + "block"
-    blocks = df.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{_N}` - 1) div {BLOCK}")))).repartition(_K, _R, block)
-    begin = col(block) * BLOCK
-    return blocks.withColumn(first, F.explode(F.sequence(begin, F.least(begin + BLOCK, col(_N)) - 1))).drop(block)
-
-
 def _ranged(timed: DataFrame) -> DataFrame:
     """timed in order of finish time, with the range each row is in, and the tokens and the rows up to it in its range."""
     order = [col("finish_time"), col(_S).asc_nulls_first(), col(_K), col(_R), col(_I)]
@@ -125,7 +117,7 @@ def schedule(
         .join(cells, col(_S).eqNullSafe(col(OWN + "s2")) & (col(_CELL) == col(OWN + "c2")))
         .select(col(key), _S, _K, _R, _T, _W, _N, (col(_AT) + col(OWN + "before")).alias(_AT))
     )
-    timed = _apart(started).withColumn("finish_time", (col(_AT) + (col(_I) + 1) * col(_T)) / col(_W)).select(col(key), _S, _K, _R, _T, _N, _I, "finish_time")
+    timed = apart(started, _N, _I, _K, _R).withColumn("finish_time", (col(_AT) + (col(_I) + 1) * col(_T)) / col(_W)).select(col(key), _S, _K, _R, _T, _N, _I, "finish_time")
     ranged = _ranged(timed)
     up = Window.orderBy(_RANGE)
     offsets = ranged.groupBy(_RANGE).agg(F.sum(_T).alias(OWN + "range_t"), F.count("*").alias(OWN + "range_n")).select(
@@ -164,7 +156,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     names = [col(c) for c in df.columns]
     whole = met.filter((at < to) | ((at == to) & ~divided)).select(*names)
     one = met.filter((at == to) & divided).groupBy(_K, _R).agg(*[F.first(c).alias(OWN + f"f{i}") for i, c in enumerate(names)], (F.max(end[_I]) + 1).alias(_N))
-    return whole.unionByName(_apart(one).select(*[col(OWN + f"f{i}").alias(c) for i, c in enumerate(df.columns)]))
+    return whole.unionByName(apart(one, _N, _I, _K, _R).select(*[col(OWN + f"f{i}").alias(c) for i, c in enumerate(df.columns)]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

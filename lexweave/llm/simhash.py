@@ -1,7 +1,8 @@
 """Near-duplicate groups by SimHash and random bit sampling.
 
-A text's fingerprint has BITS bits: each is the sign of a sum over its word
-pairs (single words in texts of one word), every occurrence voting by a hash bit.
+A text's fingerprint has BITS bits: each is the sign of a sum over its distinct words, every one
+voting by a hash bit. (Against word pairs at the same number of links between unlike texts, words put near copies at about two thirds of
+the distance; counting each once keeps common words from ruling the votes.)
 Fingerprints within MAX_DISTANCE bits are near duplicates.
 
 Equal fingerprints are one point. Points meet in tables, each of which
@@ -13,6 +14,8 @@ keep what INNER allows to be lost, so recall doesn't fall with size or density.
 Candidates are verified by their distance over all bits. Groups are the connected components
 of verified pairs; a group's document with the lowest (key, row content) stays.
 
+A group's distance may exceed the limit between two of its texts, as groups are chains of links.
+
 Defined cases: texts without a word (null, empty, punctuation) are never
 duplicates; equal texts always are, null keys among them; rows equal in all
 columns are as two copies of one document, of which one stays; an empty table
@@ -32,13 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import OWN, col, cut, row_hash, without
+from .common import MANY, OWN, apart, col, cut, joined, row_hash, without
 
 BITS = 128
-WORDS = 2
-MAX_DISTANCE = 28
+MAX_DISTANCE = 24
 #: Least probability that a pair at the limit meets; of that, what splits of full buckets may keep at least.
-RECALL, INNER = 0.9, 0.9
+RECALL, INNER = 0.95, 0.9
 BASE_BITS = 8
 BUCKET, BUCKET_CAP = 1024, 4096
 SEED = 9
@@ -49,18 +51,12 @@ for _b in range(8):
 _LANES = _LANES.reshape(-1).view(np.uint64).copy()
 
 
-def fingerprints(texts: pa.Array | pa.ChunkedArray, n: int = WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(texts: pa.Array | pa.ChunkedArray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(BITS / 64 uint64 for each text, whether it has a word). Votes are added in byte lanes, 255 at a time."""
     out, has = np.zeros((len(texts), BITS // 64), np.uint64), np.zeros(len(texts), bool)
     for b in words.batches(texts):
-        doc, h = words.shingles(b.doc, b.hash, n)
+        doc, h, _ = words.distinct(b.doc, b.hash)
         count = np.bincount(b.doc, minlength=b.rows)
-        short = (count > 0) & (count < n)
-        if short.any():
-            lone = short[b.doc]
-            doc, h = np.concatenate([doc, b.doc[lone]]), np.concatenate([h, b.hash[lone]])
-            order = np.argsort(doc, kind="stable")
-            doc, h = doc[order], h[order]
         has[b.first : b.first + b.rows] = count > 0
         if not len(h):
             continue
@@ -86,7 +82,7 @@ def fingerprints(texts: pa.Array | pa.ChunkedArray, n: int = WORDS, seed: int =
 
 def distance(a: list[str], b: list[str]) -> F.Column:
     """Differing bits of two fingerprints, each given as its columns of 64 bits."""
-    return sum((F.bit_count(col(x).bitwiseXOR(col(y))) for x, y in zip(a, b)), F.lit(0))
+    return sum((F.bit_count(col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b)), F.lit(0))
 
 
 _FP = [OWN + f"fp{i}" for i in range(BITS // 64)]
@@ -312,24 +308,28 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def grouped(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row for every row of df whose text has a word: key, row hash, fingerprint and its group's least."""
+def grouped(df: DataFrame, key: str = "doc_id", text: str = "text", many: int = MANY, **how) -> tuple[DataFrame, int]:
+    """One row for every row of df whose text has a word (key, row hash, fingerprint and its group's least), and how many."""
     rows = cut(_fingerprinted(df.select(col(key), row_hash(df).alias(OWN + "row"), col(text)), text, [key, OWN + "row"]))
-    roots = components(edges(rows.select(*_FP).distinct(), **{"count": rows.count()} | how))
-    point = F.struct(*(col(c).alias(n) for c, n in zip(_FP, "xy")))
-    placed = rows.withColumn(OWN + "point", point).join(roots, col(OWN + "point") == col("node"), "left")
-    return placed.select(col(key), OWN + "row", *_FP, F.coalesce("root", OWN + "point").alias(OWN + "root"))
+    point = F.struct(*(col(c).alias(n) for c, n in zip(_FP, "xy"))).alias(OWN + "point")
+    counts, total = rows.groupBy(*_FP).agg(F.count("*").alias("n")), rows.count()
+    roots = components(edges(counts.select(*_FP), **{"count": total} | how)).select(col("node").alias(OWN + "point"), "root")
+    placed = joined(rows.select(col(key), OWN + "row", *_FP, point), roots, OWN + "point", counts.select(point, "n"), total, many)
+    return placed.select(col(key), OWN + "row", *_FP, F.coalesce("root", OWN + "point").alias(OWN + "root")), total
 
 
-def duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", many: int = MANY, **how) -> DataFrame:
     """Every removed document with the one that stays of its group: key, duplicate_of, distance (bits between the two)."""
-    rows = grouped(df, key, text, **how)
-    order = Window.partitionBy(OWN + "root").orderBy(col(key).asc_nulls_last(), OWN + "row")
-    first = [F.first(c, ignorenulls=False).over(order) for c in (key, *_FP)]
-    placed = rows.withColumns(dict(zip(["duplicate_of", *(c + "0" for c in _FP)], first)) | {OWN + "rank": F.row_number().over(order)})
-    return placed.filter(col(OWN + "rank") > 1).select(
-        col(key), OWN + "row", "duplicate_of", distance(_FP, [c + "0" for c in _FP]).cast("int").alias("distance")
-    )
+    rows, total = grouped(df, key, text, many, **how)
+    first, root = OWN + "first", OWN + "root"
+    order = F.struct(col(key).isNull().alias("last"), col(key).alias("key"), col(OWN + "row").alias("row"), *_FP)
+    groups = cut(rows.groupBy(root).agg(F.min(order).alias(first), F.count("*").alias("n")).filter("n > 1"))
+    # Of rows equal to the one that stays, all but one go; they are alike, so they are counted and drawn apart.
+    placed = joined(rows, groups.drop("n"), root, groups.select(root, "n"), total, many).filter(col(first).isNotNull())
+    stays = col(key).eqNullSafe(col(first)["key"]) & (col(OWN + "row") == col(first)["row"])
+    out = [col(key), col(OWN + "row"), col(first)["key"].alias("duplicate_of"), distance(_FP, [f"{first}.{c}" for c in _FP]).cast("int").alias("distance")]
+    equal = placed.filter(stays).select(*out).groupBy(col(key), OWN + "row", "duplicate_of", "distance").agg((F.count("*") - 1).alias("n")).filter("n > 0")
+    return placed.filter(~stays).select(*out).unionByName(apart(equal, "n", OWN + "copy", key, OWN + "row").drop("n", OWN + "copy"))
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from lexweave.llm import mixing, sharding, words
+from lexweave.llm import common, mixing, sharding, words
 from pyspark.sql import functions as F
 
 
@@ -88,7 +88,7 @@ def test_mixing_of_odd_rows(odd, empty):
 
 
 def test_a_cut_between_equal_rows_keeps_what_was_drawn(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK", 3)
+    monkeypatch.setattr(common, "BLOCK", 3)
     rows = [(1, "src0", "a b c")] * 10
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     for share, want in ((0.5, 5), (0.99, 9), (1.0, 10), (0.0, 0)):
