@@ -11,7 +11,7 @@ text is scored by the counts of the whole corpus, from which each event is delet
 passage that stands in the corpus once more is known. bits is the mean of -log2 of the events' probabilities.
 
 Counts cover every word of every text and are exchanged, not gathered. Texts are grouped into chunks of about CHUNK_BYTES, as many
-as the corpus needs, whatever the number of partitions. A chunk sends its distinct n-grams as sorted, packed keys to owners of
+as the corpus needs, whatever the number of partitions. A chunk sends its distinct n-grams as sorted, packed keys, whose length follows the corpus (key_bits()), to owners of
 ranges of keys, as many as chunks; an owner adds them up and answers each chunk that asked, in the order of its keys. Only what holds a key is sent,
 so there are never more messages than keys. The same chunks then look their events up by place. So a task holds a chunk, or what is asked of an owner; only a text
 longer than a chunk takes more.
@@ -19,7 +19,7 @@ longer than a chunk takes more.
 For the weights, held-out events are added up in cells of (class, logarithms of the three estimates in steps of GRID)
 with their number and the sums of their estimates; the iteration runs on the cells' means, a class in a task. There are at most
 CELLS cells in a class for any corpus. By Jensen's inequality the mean of log(w . p) in a cell lies below log(w . mean p), and by no more than log2((1 + r)^2 / (4 r)) bits with r = 2^(1/steps), the
-ratio of the extremes in a cell (Kantorovich): 0.011 bits at 4 steps, 0.043 at the unigram's 2, so, but for estimates below the last step, the weights found are within 0.043
+ratio of the extremes in a cell (Kantorovich), 0.043 bits at 2 steps, so, but for estimates below the last step, the weights found are within 0.043
 bits an event of the best in the worst case; tests hold them against exact iteration.
 
 Rows equal in key and text would share a chunk; those that repeat more than HOT times (or a millionth of all rows) are counted first and
@@ -51,7 +51,7 @@ CHUNK_BYTES = 12 << 20
 #: Tasks that chunks and owners are spread over, at most.
 TASKS = 20_000
 #: Steps for a factor of 2, and the largest negative logarithm told apart, of the three estimates in a cell.
-GRID = ((4, 24), (4, 24), (2, 40))
+GRID = ((2, 24), (2, 24), (2, 40))
 CELLS = math.prod(steps * least + 2 for steps, least in GRID)
 ROUNDS = 60
 HOT, HOT_SHARE = 1000, 1_000_000
@@ -60,10 +60,16 @@ _BOS, _EOS = words.salt(101), words.salt(102)
 _CHUNK, _FOLD, _BLOB, _OWNER, _N, _H = (OWN + x for x in ("chunk", "fold", "blob", "owner", "copies", "hash"))
 
 
+def key_bits(size: int) -> int:
+    """Bits of an n-gram's key in a corpus of so many bytes: with at most an event for every 4 bytes, a key has the chance 2 ** -20 to meet another."""
+    return min(60, max(32, (size // 4).bit_length() + 20))
+
+
 class Events:
-    """The events of a chunk's texts. keys: distinct 56-bit keys of each order, sorted; place: each event's key; copies: how often each counts."""
+    """The events of a chunk's texts. keys: distinct keys of each order, sorted; place: each event's key; copies: how often each counts."""
 
-    def __init__(self, texts: pa.ChunkedArray, folds: np.ndarray, copies: np.ndarray):
+    def __init__(self, texts: pa.ChunkedArray, folds: np.ndarray, copies: np.ndarray, bits: int):
+        self.bits = bits
         parts = list(words.batches(texts))
         doc = np.concatenate([b.doc + b.first for b in parts]) if parts else np.zeros(0, np.int64)
         h = np.concatenate([b.hash for b in parts]) if parts else np.zeros(0, np.uint64)
@@ -83,7 +89,7 @@ class Events:
         self.keys, self.place = [], []
         for order in range(3):
             key = h if order == 0 else words.mix(before * np.uint64(3) + h) if order == 1 else words.mix(words.mix(before2 * np.uint64(5) + before) + h)
-            key, place = np.unique(words.mix(key ^ words.salt(order)) >> np.uint64(8), return_inverse=True)
+            key, place = np.unique(words.mix(key ^ words.salt(order)) >> np.uint64(64 - bits), return_inverse=True)
             self.keys.append(key)
             self.place.append(place.astype(np.int32))
 
@@ -120,7 +126,7 @@ def unpack(blob: bytes, sizes: list[int], kinds: list) -> list[list[np.ndarray]]
     return out
 
 
-_ASK, _ASK_KINDS = [7, 4, 4], [np.uint64, np.uint32, np.uint32]
+_ASK, _ASK_KINDS = [8, 4, 4], [np.uint64, np.uint32, np.uint32]
 _GIVE, _GIVE_KINDS = [7, 7], [np.uint64, np.uint64]
 
 
@@ -129,7 +135,7 @@ def _ask(events: Events, owners: int) -> tuple[list[int], list[bytes]]:
     parts = []
     for order in range(3):
         keys = events.keys[order]
-        owner = ((keys >> np.uint64(24)) * np.uint64(owners)) >> np.uint64(32)
+        owner = ((keys >> np.uint64(events.bits - 32)) * np.uint64(owners)) >> np.uint64(32)
         parts.append((keys, *events.counts(order), np.searchsorted(owner, np.arange(owners + 1).astype(np.uint64))))
     to, blobs = [], []
     for r in range(owners):
@@ -256,14 +262,14 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: i
     """key, events and bits of every row."""
     rows, size, several = _collapsed(df, key, text)
     chunks = max(1, -(-size // chunk_bytes))
-    parts = min(chunks, TASKS)
+    parts, bits_ = min(chunks, TASKS), key_bits(size)
     body = col(OWN + "text")
     docs = rows.select(
         col(key), body, F.pmod(F.xxhash64(F.lit(1), col(key), body), F.lit(2)).cast("int").alias(_FOLD), F.pmod(F.xxhash64(col(key), body), F.lit(chunks)).cast("int").alias(_CHUNK), col(_N)
     ).repartition(parts, _CHUNK)
 
     def read(table: pa.Table) -> Events:
-        return Events(table.column(1), table.column(2).to_numpy(), table.column(4).to_numpy())
+        return Events(table.column(1), table.column(2).to_numpy(), table.column(4).to_numpy(), bits_)
 
     def ask(table: pa.Table) -> pa.Table:
         to, blobs = _ask(read(table), chunks)
@@ -279,16 +285,16 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: i
         only = lambda x: pa.array([None] * len(blobs) + [x], pa.int64())
         return pa.table({_CHUNK: pa.array(senders, pa.int32()), _OWNER: pa.array([owner] * len(senders), pa.int32()), _BLOB: pa.array([*blobs, b""], pa.binary()), "own_v": only(stats[0]), "own_n0": only(stats[1]), "own_n1": only(stats[2])})
 
-    cell_schema = "bucket int, code long, n double, p0 double, p1 double, p2 double, v long"
+    cell_schema = "code long, n float, p0 float, p1 float, p2 float"
 
     def count(table: pa.Table, totals: pa.Table) -> pa.Table:
-        code, n, p, v = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 3)), 0
+        code, n, p = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 3))
         if table.num_rows and totals.num_rows:
             answers, v, total = _in_order(totals)
             events = read(table)
             code, n, p = cells(*estimates(events, looked_up(events, answers), v, total, False), events.copies)
             words.release()
-        return pa.table({"bucket": pa.array((code // CELLS).astype(np.int32)), "code": pa.array(code), "n": pa.array(n), **{f"p{k}": pa.array(p[:, k]) for k in range(3)}, "v": pa.array(np.full(len(code), v, np.int64))})
+        return pa.table({"code": pa.array(code), "n": pa.array(n, pa.float32()), **{f"p{k}": pa.array(p[:, k].astype(np.float32)) for k in range(3)}})
 
     def learn(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("code").to_numpy())
@@ -318,10 +324,11 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: i
     totals = asked.repartition(parts, _OWNER).groupBy(_OWNER).applyInArrow(answer, f"`{_CHUNK}` int, `{_OWNER}` int, `{_BLOB}` binary, own_v long, own_n0 long, own_n1 long").repartition(parts, _CHUNK)
     # Every column is read, so that this shares the exchange with what follows.
     stats = totals.agg(F.sum("own_v").alias("v"), F.sum("own_n0").alias("n0"), F.sum("own_n1").alias("n1"), F.max(F.length(_BLOB)).alias("_b"), F.max(_CHUNK).alias("_c"), F.max(_OWNER).alias("_o"))
-    given = totals.crossJoin(F.broadcast(stats.select("v", "n0", "n1", F.greatest("_b", "_c", "_o").alias("_all"))))
+    whole = F.broadcast(stats.select("v", "n0", "n1", F.greatest("_b", "_c", "_o").alias("_all")))
+    given = totals.crossJoin(whole)
     held_out = docs.groupBy(_CHUNK).cogroup(given.groupBy(_CHUNK)).applyInArrow(count, cell_schema)
-    per_cell = held_out.groupBy("bucket", "code").agg(*[F.sum(c).alias(c) for c in ("n", "p0", "p1", "p2")], F.max("v").alias("v"))
-    weights = per_cell.groupBy("bucket").applyInArrow(learn, "bucket int, weights array<double>").agg(F.collect_list(F.struct("bucket", "weights")).alias("weights"))
+    per_cell = held_out.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("n", "p0", "p1", "p2")]).withColumn("bucket", F.expr(f"cast(code div {CELLS} as int)"))
+    weights = per_cell.crossJoin(whole).groupBy("bucket").applyInArrow(learn, "bucket int, weights array<double>").agg(F.collect_list(F.struct("bucket", "weights")).alias("weights"))
     given = given.crossJoin(F.broadcast(weights))
     scored = docs.groupBy(_CHUNK).cogroup(given.groupBy(_CHUNK)).applyInArrow(mix, schema)
     if several:
