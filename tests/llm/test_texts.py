@@ -409,22 +409,33 @@ def test_language_of_odd_rows(odd, empty):
 # Licenses
 
 
+def brute_licenses(text, templates, threshold):
+    said = [toks(line) for line in (text or "").split("\n")]
+    for name, template in templates.items():
+        size, least = len(toks(template)), licenses.need(len(set(toks(template))), threshold)
+        runs = {}
+        for i in range(len(said)):
+            for j in range(i, len(said)):
+                if all(said[i : j + 1]) and (i == j or sum(map(len, said[i : j + 1])) <= licenses.STRETCH * size):
+                    common = len(set(toks(template)) & {w for x in said[i : j + 1] for w in x})
+                    if size and common >= least:
+                        runs[i, j] = common
+        for (i, j), n in runs.items():
+            if not any((a, z) != (i, j) and i <= a and z <= j for a, z in runs):
+                yield i, j - i + 1, name, n
+
+
 def test_license_join_is_exact(spark):
     templates = {"a": "one two three four five", "b": "one two six", "c": "...", "d": "seven"}
     r = random.Random(9)
     pool = "one two three four five six seven eight nine ten".split()
-    rows = [(i, "\n".join(" ".join(r.choice(pool) for _ in range(r.randint(0, 9))) for _ in range(5))) for i in range(60)]
+    rows = [(i, "\n".join(" ".join(r.choice(pool) for _ in range(r.randint(0, 5))) for _ in range(9))) for i in range(60)] + [(60, None), (61, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for threshold in (0.5, 0.8, 1.0):
-        want = set()
-        for i, t in rows:
-            for k, line in enumerate(t.split("\n")):
-                for name, template in templates.items():
-                    words = set(toks(template))
-                    if words and len(words & set(toks(line))) >= licenses.need(len(words), threshold):
-                        want.add((i, k, name, len(words & set(toks(line)))))
+        want = sorted((i, *x) for i, t in rows for x in brute_licenses(t, templates, threshold))
         got = licenses.scan(df, templates=templates, threshold=threshold).collect()
-        assert {(x.doc_id, x.block, x.template, x.overlap) for x in got} == want and len(got) == len(want)
+        assert sorted((x.doc_id, x.block, x.lines, x.template, x.overlap) for x in got) == want and len(want) > 50
+        assert any(x[2] > 1 for x in want)
 
 
 def test_wrapped_notices_are_found(spark):
@@ -443,15 +454,27 @@ in the Software without restriction, including without limitation the rights"""
  * the Free Software Foundation, either version 3 of the License, or
  * (at your option) any later version."""
     apart = bsd.replace("without\n#", "without\n#\n#")
-    df = spark.createDataFrame(list(enumerate([mit, bsd, gpl, apart, "", None])), "doc_id long, text string")
-    got = {(x.doc_id, x.block, x.template) for x in licenses.scan(df, paragraphs=True).collect()}
-    assert got == {(0, 2, "mit-grant"), (1, 2, "bsd"), (2, 0, "gpl-notice"), (2, 0, "gpl-3.0")}
-    assert licenses.scan(df).count() == 0
-
-
-def test_licenses_of_odd_rows(odd, empty):
+    apache = """/* Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */"""
+    texts = [mit, bsd, gpl, apart, "", None, apache]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x.doc_id, x.block, x.lines, x.template) for x in licenses.scan(df).collect()}
+    assert got == {(i, *x[:3]) for i, t in enumerate(texts) for x in brute_licenses(t, licenses.TEMPLATES, licenses.THRESHOLD)}
+    assert {(0, 2, 2, "mit-grant"), (1, 2, 2, "bsd"), (2, 0, 3, "gpl-notice"), (6, 0, 1, "apache-2.0"), (6, 1, 3, "apache-2.0-terms")} <= got and 3 not in {x[0] for x in got}
+
+
+def test_licenses_of_odd_rows(spark, odd, empty):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
     assert licenses.scan(odd, templates={"none": "..."}).count() == 0
+    note = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    long = prose(70, 30_000) + "\n\n" + note + "\n\n" + "zz " * 500_000
+    scattered = prose(71, 40).join(note.split())  # the words of a notice all over a long line, and over many lines
+    rows = [(None, note, 1), (1, None, 2), (2, long, 3), (3, note, 4), (3, note, 4), (4, scattered.replace(" ", "\n"), 5)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, Template long")).collect()
+    assert Counter((x.doc_id, x.block, x.lines, x.template) for x in got) == Counter([(None, 0, 2, "mit-grant"), (2, 2, 2, "mit-grant"), (3, 0, 2, "mit-grant"), (3, 0, 2, "mit-grant")])
 
 
 # Language model
