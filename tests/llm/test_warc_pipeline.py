@@ -19,10 +19,10 @@ def sizes(folder):
     return sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if not f.startswith("."))
 
 
-@pytest.mark.parametrize("zipped", [True, False])
-def test_round_trip(spark, pages, tmp_path, zipped):
+@pytest.mark.parametrize("layout", [*warc.LAYOUTS, warc.laid_out])
+def test_round_trip(spark, pages, tmp_path, layout):
     rows, df = pages
-    warc.write(df, f"file://{tmp_path}", zipped)
+    warc.write(df, f"file://{tmp_path}", layout)
     got = warc.read(spark, f"file://{tmp_path}").collect()
     assert {r.kind for r in got} == {"record"} and len(got) == len(rows)
     want = sorted((f"<urn:page:{'' if i is None else i}>", u and u.replace("\n", "%0A"), (h or "").encode()) for i, u, h in rows)
@@ -31,10 +31,10 @@ def test_round_trip(spark, pages, tmp_path, zipped):
     assert sum(r.length for r in got) == sizes(tmp_path)
 
 
-@pytest.mark.parametrize("split", [1 << 24, 4096, 501])
-def test_damaged_members_are_skipped_and_all_bytes_accounted_for(spark, pages, tmp_path, split):
+@pytest.mark.parametrize("split,layout", [(1 << 24, warc.laid_out), (4096, "members"), (501, "members"), (1 << 24, "shared"), (700, "shared"), (1 << 24, "plain")])
+def test_damaged_records_are_skipped_and_all_bytes_accounted_for(spark, pages, tmp_path, split, layout):
     rows, df = pages
-    warc.write(df, f"file://{tmp_path}", harm=warc.harmed)
+    warc.write(df, f"file://{tmp_path}", layout, warc.harmed)
     lost = set()
     for i, _, _ in rows:
         h = hashlib.md5(str(i).encode()).digest()
@@ -44,6 +44,30 @@ def test_damaged_members_are_skipped_and_all_bytes_accounted_for(spark, pages, t
     ids = sorted(r.record_id for r in got if r.kind == "record")
     assert lost and ids == sorted(f"<urn:page:{'' if i is None else i}>" for i, _, _ in rows if i not in lost)
     assert any(r.kind == "gap" for r in got) and sum(r.length for r in got) == sizes(tmp_path)
+    assert all((r.inner is not None) == (r.file.endswith(".gz") and r.kind == "record") or r.kind == "gap" for r in got)
+
+
+def test_long_headers_long_pages_and_clashing_columns(spark, tmp_path):
+    rows = [(1, "http://x/" + "y" * 300_000, "short", 5), (2, "http://x/2", "<p>" + "long " * 1_000_000, 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, kind long")
+    for layout in warc.LAYOUTS:
+        warc.write(df, f"file://{tmp_path}/{layout}", layout)
+        got = sorted(warc.read(spark, f"file://{tmp_path}/{layout}").collect(), key=lambda r: r.record_id)
+        assert [(r.kind, r.target_uri, bytes(r.payload)) for r in got] == [("record", u, h.encode()) for _, u, h, _ in rows]
+
+
+def test_a_false_length_is_not_read(tmp_path):
+    good = warc.record(1, None, "x")
+    false = good.replace(b"Content-Length: ", b"Content-Length: 900000")
+    (tmp_path / "a.warc").write_bytes(false + good + b" " * 10_000_000 + good)
+    with open(tmp_path / "a.warc", "rb") as f:
+        import pyarrow as pa
+
+        w = warc.Window(pa.PythonFile(f, mode="r"))
+        with pytest.raises(warc.Bad):
+            warc.plain_record(w, 0)
+        assert len(w.data) <= warc.READ
+        assert [type(x).__name__ for _, _, x in warc.salvage(w, 0, w.size, False)] == ["str", "Record", "str", "Record"]
 
 
 def test_damaged_plain_files_match_what_was_written(spark, tmp_path):
