@@ -17,6 +17,7 @@ column names are replaced.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
@@ -115,12 +116,16 @@ def _svm(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, epochs: int = E
 
 
 def train(texts: pa.Array, languages: list[str], families: dict[str, tuple[str, ...]] = FAMILIES, width: int = WIDTH) -> Model:
+    return trained(counts(texts, width) if languages else np.zeros((0, width), np.float32), languages, families)
+
+
+def trained(x: np.ndarray, languages: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
+    """A model from counts of texts, a row each."""
+    width = x.shape[1]
     of = {lang: f for f, langs in families.items() for lang in langs}
-    known = sorted(set(languages))
     groups: dict[str, list[str]] = {}
-    for lang in known:
+    for lang in sorted(set(languages)):
         groups.setdefault(of.get(lang, lang), []).append(lang)
-    x = counts(texts, width) if known else np.zeros((0, width), np.float32)
     total = x.sum(1, keepdims=True)
     x = (x / np.maximum(total, 1))[total[:, 0] > 0]
     lang = np.array(languages, object)[total[:, 0] > 0]
@@ -175,12 +180,30 @@ def classify(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", rows: int = ROWS, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
-    """A model from at most rows documents of each language."""
+    """A model from at most rows documents of each language. Texts are counted where they are; one task trains on the counts, at most 6 * WIDTH bytes a document."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    few = df.select(col(key).alias("id"), col(language).alias("lang")).filter("id is not null and lang is not null").withColumn("n", F.row_number().over(order)).filter(col("n") <= rows).select("id", "lang").distinct()
-    got = df.select(col(key).alias("id"), col(text).alias("text")).join(F.broadcast(few), "id").filter("text is not null").orderBy("lang", "id").select("text", "lang").toArrow()
-    texts = pa.concat_arrays([c.cast(pa.large_string()) for c in got.column("text").chunks]) if got.num_rows else pa.array([], pa.large_string())
-    return train(texts, got.column("lang").to_pylist(), families)
+    few = df.select(col(key).alias("id"), col(language).alias("lang")).filter("id is not null and lang is not null").withColumn("n", F.row_number().over(order)).filter(col("n") <= rows).groupBy("id", "lang").agg(F.min("n").alias("n"))
+    got = df.select(col(key).alias("id"), col(text).alias("text")).filter("text is not null").join(F.broadcast(few), "id").select("text", "lang", "n")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, values = [], []
+            for at in range(0, batch.num_rows, 64):
+                for x in counts(batch.column(0).slice(at, 64)):
+                    hit = np.flatnonzero(x)
+                    places.append(hit.astype(np.uint16).tobytes())
+                    values.append(x[hit].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["lang", "n", "places", "values"])
+
+    def learn(table: pa.Table) -> pa.Table:
+        rows_ = sorted(zip(*(table.column(c).to_pylist() for c in ("lang", "n", "places", "values"))))
+        x = np.zeros((len(rows_), WIDTH), np.float32)
+        for k, (_, _, places, values) in enumerate(rows_):
+            x[k, np.frombuffer(places, np.uint16)] = np.frombuffer(values, np.float32)
+        return pa.table({"model": pa.array([pickle.dumps(tuple(trained(x, [r[0] for r in rows_], families)))], pa.binary())})
+
+    made = got.mapInArrow(count, "lang string, n int, places binary, `values` binary").groupBy(F.lit(0).alias("one")).applyInArrow(learn, "model binary").first()
+    return Model(*pickle.loads(bytes(made.model))) if made else train(pa.array([], pa.large_string()), [], families)
 
 
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -397,6 +397,51 @@ def test_sums_match_counts_whatever_the_piece(monkeypatch):
         assert np.allclose(got, want, rtol=1e-4) and n.tolist() == language.counts(texts).sum(1).astype(int).tolist()
 
 
+def brute_language(text, model):
+    """Votes of every machine by plain sums over trigrams: family, then language within it."""
+    data = [b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").lower().encode()]
+    bits = language.WIDTH.bit_length() - 1
+    places = [((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) * 0x27D4EB2F % 2**32) >> (32 - bits) for a, b, c in zip(data, data[1:], data[2:])]
+    if not places:
+        return None, None, None
+
+    def choose(kind, names):
+        votes, sums, least = Counter(), Counter(), dict.fromkeys(names, float("inf"))
+        for k, (what, a, b) in enumerate(model.pairs):
+            if what == kind and a in names and b in names:
+                m = sum(float(model.table[p, k]) for p in places) / len(places) + float(model.bias[k])
+                for name, x in ((a, m), (b, -m)):
+                    votes[name] += x > 0
+                    sums[name] += x
+                    least[name] = min(least[name], x)
+        best = max(names, key=lambda n: (votes[n], sums[n], -names.index(n)))
+        return best, least[best]
+
+    family, sure = choose("family", sorted(model.families))
+    lang, within = choose("language", model.families[family])
+    return family, lang, min(sure, within)
+
+
+def test_votes_match_plain_sums(spark):
+    pools = {"en": "abcde", "de": "efghi", "nl": "ijklm", "es": "mnopq", "fr": "qrstu", "xx": "uvwxé"}
+    r = random.Random(12)
+    rows = [(i, " ".join("".join(r.choice(pools[v]) for _ in range(5)) for _ in range(30)), v) for i, v in enumerate(list(pools) * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert len(model.pairs) == 3 + 3 + 1  # three families; three germanic languages, two romance ones, one alone
+    mixed = [(1000 + i, " ".join(r.choice(rows)[1][:40] for _ in range(3)), None) for i in range(60)] + [(2000, "", None), (2001, None, None), (2002, "ab", None)]
+    for x in language.identify(spark.createDataFrame(rows + mixed, df.schema), model).collect():
+        family, lang, margin = brute_language(dict((i, t) for i, t, _ in rows + mixed)[x.doc_id], model)
+        assert (x.family, x.language) == (family, lang) and (margin is None or abs(x.margin - margin) < 1e-4)
+
+
+def test_ties_of_votes_go_to_the_larger_margins_then_by_name():
+    # a beats b, b beats c, c beats a: one vote each.
+    model = language.Model(np.zeros((language.WIDTH, 3), np.float32), np.array([0.1, -0.2, 0.3]), [("language", "a", "b"), ("language", "a", "c"), ("language", "b", "c")], {"f": ["a", "b", "c"]})
+    best, least = language._vote(["a", "b", "c"], "language", model, np.array([[0.1, -0.2, 0.3], [0.1, -0.1, 0.1], [-1.0, 1.0, 5.0]]))
+    assert best.tolist() == [1, 0, 1] and np.allclose(least, [-0.1, -0.1, 1.0])
+
+
 def test_language_of_odd_rows(odd, empty):
     rows = language.identify(odd, language.fit(odd)).collect()
     assert len(rows) == odd.count()
