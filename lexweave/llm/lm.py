@@ -65,6 +65,34 @@ def key_bits(size: int) -> int:
     return min(60, max(32, (size // 4).bit_length() + 20))
 
 
+def labels(n: int) -> np.ndarray:
+    """n numbers that hash partitioning of n (or TASKS) partitions spreads evenly, where 0 to n - 1 would meet in some."""
+    parts = min(n, TASKS)
+    out: list[np.ndarray] = []
+    begin, size = 0, 16 * parts
+    open_ = np.full(parts, -(-n // parts))
+    while open_.any():
+        x = np.arange(begin, begin + size, dtype=np.uint32)
+        # Spark's hash of an int, Murmur3 with seed 42.
+        k = x * np.uint32(0xCC9E2D51)
+        k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+        h = np.uint32(42) ^ k
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+        to = h.view(np.int32).astype(np.int64) % parts
+        order = np.argsort(to, kind="stable")
+        count = np.bincount(to, minlength=parts)
+        nth = np.arange(size) - np.repeat(np.cumsum(count) - count, count)
+        take = nth < open_[to[order]]
+        out.append(x[order[take]].astype(np.int64))
+        open_ -= np.bincount(to[order[take]], minlength=parts)
+        begin += size
+    return np.sort(np.concatenate(out))[:n]
+
+
 class Events:
     """The events of a chunk's texts. keys: distinct keys of each order, sorted; place: each event's key; copies: how often each counts."""
 
@@ -238,6 +266,7 @@ def maximise(n: np.ndarray, p: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def _in_order(totals: pa.Table) -> tuple[list[bytes], int, tuple[int, int]]:
+    # Labels rise with the owners' ranges.
     order = np.argsort(totals.column(_OWNER).to_numpy())
     blobs = totals.column(_BLOB).to_pylist()
     return [blobs[i] for i in order], *((0, (0, 0)) if not blobs else (totals.column("v")[0].as_py(), (totals.column("n0")[0].as_py(), totals.column("n1")[0].as_py())))
@@ -263,9 +292,11 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: i
     rows, size, several = _collapsed(df, key, text)
     chunks = max(1, -(-size // chunk_bytes))
     parts, bits_ = min(chunks, TASKS), key_bits(size)
+    names = labels(chunks)
+    label = F.element_at(F.from_json(F.lit(str(names.tolist())), "array<int>"), (F.pmod(F.xxhash64(col(key), col(OWN + "text")), F.lit(chunks)) + 1).cast("int"))
     body = col(OWN + "text")
     docs = rows.select(
-        col(key), body, F.pmod(F.xxhash64(F.lit(1), col(key), body), F.lit(2)).cast("int").alias(_FOLD), F.pmod(F.xxhash64(col(key), body), F.lit(chunks)).cast("int").alias(_CHUNK), col(_N)
+        col(key), body, F.pmod(F.xxhash64(F.lit(1), col(key), body), F.lit(2)).cast("int").alias(_FOLD), label.alias(_CHUNK), col(_N)
     ).repartition(parts, _CHUNK)
 
     def read(table: pa.Table) -> Events:
@@ -275,7 +306,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: i
         to, blobs = _ask(read(table), chunks)
         chunk = table.column(3)[0].as_py()
         words.release()
-        return pa.table({_CHUNK: pa.array([chunk] * len(to), pa.int32()), _OWNER: pa.array(to, pa.int32()), _BLOB: pa.array(blobs, pa.binary())})
+        return pa.table({_CHUNK: pa.array([chunk] * len(to), pa.int32()), _OWNER: pa.array(names[to], pa.int32()), _BLOB: pa.array(blobs, pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
         blobs, stats = _answer(table.column(_BLOB).to_pylist())
