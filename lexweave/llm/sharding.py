@@ -7,8 +7,10 @@ square with a = ceil(sqrt(n)); places beyond n-1 walk the cycle on. Fewer than
 the shard, ``position // shards`` the slot: both can be computed for any row
 number, and the row number for any shard and slot, without a table.
 
-Only bucket counts travel to where rows are numbered: a window per bucket, and a
-broadcast of at most BUCKETS offsets, whose number does not follow the data.
+Rows are numbered in a window per bucket, from offsets that are broadcast. A key of more rows than MANY and than four mean
+buckets would make one bucket too large: its rows come behind the others of their bucket, in as many parts by their content as
+it has such sizes, and rows equal in all are counted, numbered once and drawn apart. So there are less than 2 * BUCKETS offsets
+for any data. The result is laid out by shard and slot: a shard's rows stand together, in order, in as many partitions as they fill.
 
 Defined cases: null keys come first; equal keys are ordered by content, equal
 rows are interchangeable; an empty table gives an empty result; an input column
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import OWN, col, row_hash, without
+from .common import MANY, OWN, apart, col, cut, row_hash, without
 
 SHARDS = 64
 SEED = 17
@@ -121,42 +123,60 @@ def position(x: Column, n: Column, seed: int = SEED) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a walk did not come back")).cast("long"))
 
 
-def row_numbers(df: DataFrame, key: str = "doc_id", name: str = "row_number", total: str = OWN + "n") -> DataFrame:
+def row_numbers(df: DataFrame, key: str = "doc_id", name: str = "row_number", total: str = OWN + "n", many: int = MANY) -> DataFrame:
     """Global numbers from 0, and the number of rows, in one shuffle of df."""
+    bucket, row, part, n = (OWN + x for x in ("bucket", "row", "part", "copies"))
     integral = isinstance(df.schema[key].dataType, T.IntegralType)
     spread = col(key).cast("long") if integral else F.xxhash64(col(key))
-    placed = df.withColumns({OWN + "bucket": F.coalesce(F.pmod(spread, F.lit(BUCKETS)), F.lit(0)).cast("int"), OWN + "row": row_hash(df)})
-    up = Window.orderBy(OWN + "bucket")
-    offsets = placed.groupBy(OWN + "bucket").agg(F.count("*").alias(OWN + "count")).select(
-        OWN + "bucket",
-        (F.sum(OWN + "count").over(up) - col(OWN + "count")).alias(OWN + "offset"),
-        F.sum(OWN + "count").over(Window.partitionBy()).alias(total),
+    placed = df.withColumns({bucket: F.coalesce(F.pmod(spread, F.lit(BUCKETS)), F.lit(0)).cast("int"), row: row_hash(df)})
+    keys = df.groupBy(col(key).alias(OWN + "k")).agg(F.count("*").alias("n"))
+    limit = max(many, 4 * (df.count() // BUCKETS))
+    hot = cut(keys.filter(col("n") > limit).select(OWN + "k", F.ceil(col("n") / limit).alias(OWN + "parts")))
+    first = lambda c: F.first(c, ignorenulls=False)
+    if hot.isEmpty():
+        placed = placed.withColumns({part: F.lit(0).cast("long"), n: F.lit(1).cast("long")})
+    else:
+        same = col(key).eqNullSafe(col(OWN + "k"))
+        few = F.broadcast(hot)
+        cold = placed.join(few, same, "left_anti").withColumns({part: F.lit(0).cast("long"), n: F.lit(1).cast("long")})
+        names = [(c, OWN + f"c{i}") for i, c in enumerate(df.columns)]
+        counted = placed.join(few, same).groupBy(bucket, row, OWN + "k").agg(*[first(col(c)).alias(o) for c, o in names], first(OWN + "parts").alias(OWN + "parts"), F.count("*").alias(n))
+        packed = counted.select(*[col(o).alias(c) for c, o in names], bucket, row, (F.pmod(col(row), col(OWN + "parts")) + 1).alias(part), n)
+        placed = cold.unionByName(packed)
+    up = Window.orderBy(bucket, part)
+    # Counted from what is placed only where rows are packed; else the key alone is read.
+    offsets = placed.groupBy(bucket, part).agg(F.sum(n).alias(OWN + "sum")).select(
+        col(bucket).alias(OWN + "b2"), col(part).alias(OWN + "p2"), (F.sum(OWN + "sum").over(up) - col(OWN + "sum")).alias(OWN + "offset"), F.sum(OWN + "sum").over(Window.partitionBy()).alias(total)
     )
-    within = Window.partitionBy(OWN + "bucket").orderBy(col(key).asc_nulls_first(), col(OWN + "row"))
-    return (
-        placed.withColumn(OWN + "rank", F.row_number().over(within))
-        .join(F.broadcast(offsets), OWN + "bucket")
-        .withColumn(name, col(OWN + "offset") + col(OWN + "rank") - 1)
-        .drop(OWN + "bucket", OWN + "row", OWN + "offset", OWN + "rank")
+    within = Window.partitionBy(bucket, part).orderBy(col(key).asc_nulls_first(), col(row)).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = (
+        placed.withColumn(name, F.sum(n).over(within) - col(n))
+        .join(F.broadcast(offsets), (col(bucket) == col(OWN + "b2")) & (col(part) == col(OWN + "p2")))
+        .withColumn(name, col(OWN + "offset") + col(name))
     )
+    if not hot.isEmpty():
+        numbered = apart(numbered, n, OWN + "copy", bucket, row).withColumn(name, col(name) + col(OWN + "copy"))
+    return numbered.select(*[col(c) for c in df.columns], name, total)
 
 
-def shard(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """df with row_number, position, shard and slot."""
+def shard(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, seed: int = SEED, many: int = MANY) -> DataFrame:
+    """df with row_number, position, shard and slot, in order of shard and slot."""
     if shards < 1:
         raise ValueError("shards: at least 1")
-    numbered = row_numbers(without(df, "row_number", "position", "shard", "slot"), key)
+    numbered = row_numbers(without(df, "row_number", "position", "shard", "slot"), key, many=many)
     return (
         numbered.withColumn("position", position(col("row_number"), col(OWN + "n"), seed))
         .withColumn("shard", F.pmod(col("position"), F.lit(shards)).cast("int"))
         .withColumn("slot", F.expr(f"position div {shards}"))
         .drop(OWN + "n")
+        .repartitionByRange("shard", "slot")
+        .sortWithinPartitions("shard", "slot")
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    return shard(docs)
+    """All documents, with all their columns."""
+    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _round_sql(inner: str, keys: list[int]) -> str:
@@ -173,7 +193,7 @@ def oracle(shards: int = SHARDS, seed: int = SEED) -> str:
     keys = round_keys(seed)
     return f"""
 WITH RECURSIVE numbered AS (
-  SELECT doc_id, row_number() OVER (ORDER BY coalesce(((doc_id % {BUCKETS}) + {BUCKETS}) % {BUCKETS}, 0), doc_id NULLS FIRST) - 1 AS row_number,
+  SELECT *, row_number() OVER (ORDER BY coalesce(((doc_id % {BUCKETS}) + {BUCKETS}) % {BUCKETS}, 0), doc_id NULLS FIRST) - 1 AS row_number,
          count(*) OVER () AS n
   FROM documents
 ), walk AS (
@@ -181,6 +201,6 @@ WITH RECURSIVE numbered AS (
   UNION ALL
   {_round_sql("SELECT n, a, x0, x FROM walk WHERE x >= n", keys)}
 )
-SELECT doc_id, row_number, x AS position, CAST(x % {shards} AS INTEGER) AS shard, x // {shards} AS slot
+SELECT doc_id, text, lang, source, n_chars, row_number, x AS position, CAST(x % {shards} AS INTEGER) AS shard, x // {shards} AS slot
 FROM numbered JOIN walk ON x0 = row_number WHERE x < walk.n
 """

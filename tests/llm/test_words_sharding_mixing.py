@@ -115,3 +115,14 @@ def test_ranges_are_even_whatever_the_weights(spark):
     )
     sizes = [r["count"] for r in kept.groupBy(mixing._RANGE).count().collect()]
     assert len(sizes) == 4 and max(sizes) < 2 * 20_000 / 4
+
+
+def test_numbers_of_hot_keys_and_equal_rows(spark):
+    rows = [(None, "a")] * 30 + [(None, f"t{i}") for i in range(40)] + [(5, f"u{i}") for i in range(25)] + [(i, "x") for i in range(6, 60)] + [(6, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df, shards=4, many=10).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    assert sorted(r.row_number for r in got) == sorted(r.position for r in got) == list(range(len(rows)))
+    assert all((r.shard, r.slot) == sharding.locate(r.row_number, len(rows), 4) for r in got)
+    assert [(r.shard, r.slot) for r in got] == sorted((r.shard, r.slot) for r in got)
+    assert {tuple(r) for r in sharding.shard(df, shards=4, many=10).collect()} == {tuple(r) for r in got}
