@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns all of its documents; run() writes each
 stage's result as Parquet into the shared folder and reads it again, so that a lost
 executor costs one stage's tasks and not the lineage of all.
+
+Defined cases: null, empty and very long texts pass every stage but those that their content concerns (texts without a word are never toxic,
+duplicates or contaminated, and cost no tokens); rows equal in all columns are copies, of which near_duplicates keeps one; rows of one key and
+different content are documents of their own; a null key or source is one as any other; other columns stay, those named as shards' columns are
+replaced; empty tables give an empty result. Toxicity needs labels only to learn stems: without any, the seed lexicon decides.
 """
 
 from __future__ import annotations
@@ -47,7 +52,7 @@ STAGES = [
     ("sharding", into_shards),
 ]
 
-#: SimHash groups and transducer scores have no SQL; tests hold the stages against brute force.
+#: SimHash groups and transducer scores have no SQL; a test runs all stages against plain Python.
 ORACLE_SQL = None
 
 
