@@ -138,3 +138,57 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_pipeline_matches_plain_python(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    from test_texts import brute_spans
+    from test_words_sharding_mixing import brute_mix
+
+    from lexweave.llm import mixing
+
+    r = random.Random(21)
+    item = prose(4000, 30)
+    rows = [(i, prose(4100 + i, 70), "en", f"src{i % 3}", 0) for i in range(90)]
+    rows += [(200 + i, " ".join(w for w in rows[i][1].split() if r.random() > 0.03), "en", "src0", 0) for i in range(30)]
+    rows += [(300 + i, prose(4300 + i, 40) + ". He is a moron!", "en", "src1", 0) for i in range(8)]
+    rows += [(400 + i, f"{prose(4400 + i, 20)} {' '.join(item.split()[i : i + 12])}, {prose(4500 + i, 20)}", "de", "src2", 0) for i in range(10)]
+    rows += [rows[5], rows[5], (1, prose(4600, 50), "en", "src1", 0), (None, None, None, None, None), (500, item, "en", "src0", 0), (501, "", "en", None, 0), (502, prose(4700, 30_000), "fr", "src1", 0)]
+    df = spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, slot int")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    docs = [x for x in rows if not 300 <= (x[0] or 0) < 308]
+    fp, has = simhash.fingerprints(pa.array([x[1] for x in docs]))
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if has[i] and has[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= simhash.MAX_DISTANCE:
+                a, b = find(i), find(j)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+    groups = {}
+    for i, x in enumerate(docs):
+        groups.setdefault(find(i), []).append(x)
+    docs = [min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in groups.values()]
+    cut = {}
+    for k, s, e in sorted(brute_spans([(n, x[1]) for n, x in enumerate(docs)], [item]), reverse=True):
+        text = cut.get(k, docs[k][1])
+        cut[k] = text[:s] + text[e:]
+    docs = [(x[0], cut.get(n, x[1]), x[3]) for n, x in enumerate(docs) if n not in cut or any(c.isalnum() for c in cut[n])]
+    drawn = brute_mix([(k, s, t) for k, t, s in docs], mixing.WEIGHTS, mixing.DEFAULT_WEIGHT, mixing.BUDGET_SHARE, mixing.SEED)
+    order = sorted(drawn, key=lambda k: (k or 0, k is not None))
+    want = {(k, *sharding.locate(n, len(drawn))) for n, k in enumerate(order)}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in got} == set(drawn) and len(got) == len(drawn) < len(docs)
+    assert {(x.doc_id, x.shard, x.slot) for x in got} == want
+    texts = {k: t for k, t, _ in docs if k != 1}
+    assert all(x.text == texts[x.doc_id] for x in got if x.doc_id != 1)
