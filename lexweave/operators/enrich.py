@@ -12,7 +12,8 @@ _INSTITUTION = r"([가-힣]+(?:여자대학교|교육대학교|전문대학교|
 _CODE = r"(?:[\[【(<◀]\s*)?(\d+(?:\s*-\s*\d+)+(?:\s*[~～]\s*\d+)?)(?:\s*[\]】)>▶])?"
 _DATE = r"\d{4}\s*\.\s*\d{1,2}\s*\.\s*\d{1,2}\.?"
 _INLINE = [r"\[\s*시행[^\]]*\]", r"\[\s*" + _DATE + r"\s*,?\s*(?:일부개정|전부개정|개정|제정)[^\]]*\]", r"\(\s*\d{8}\s*(?:개정|제정)\s*\)", r"(?:제정|개정)\s*" + _DATE + r".*$"]
-_EVENT = r"(?:삭제|폐지)\s*<[^>]*" + _DATE + r"[^>]*>|<[^>]*(?:개정|신설|삭제|폐지)[^>]*>|\[[^\]]*(?:본조\s*신설|본조\s*삭제|본조\s*폐지|제목변경|항변경|이동)[^\]]*\]"
+#: Marks of amendments: a status with its date, in angles, in brackets.
+_EVENTS = (r"(?:삭제|폐지)\s*<[^>]*" + _DATE + r"[^>]*>", r"<[^>]*(?:개정|신설|삭제|폐지)[^>]*>", r"\[[^\]]*(?:본조\s*신설|본조\s*삭제|본조\s*폐지|제목변경|항변경|이동)[^\]]*\]")
 
 
 def _known_terms(x: Column) -> Column:
@@ -106,12 +107,35 @@ def event_type(raw: Column) -> Column:
     return F.when(flat.contains("신설"), "inserted").when(flat.contains("삭제") | flat.contains("폐지"), "repealed").otherwise("amended")
 
 
+def event_marks(text: Column) -> Column:
+    """Marks in the order in which they start. One that lies within another goes; of two that overlap in part both stay."""
+    lit = F.lit
+
+    empty = F.array().cast("array<struct<start:int,rank:int,end:int,mark:string>>")
+
+    def placed(rank: int, pattern: str) -> Column:
+        # Every array is an argument of a function, not of its lambda, where it would be made again for each element.
+        parts = F.zip_with(F.split(text, "(?U)" + pattern), F.regexp_extract_all(text, lit("(?U)" + pattern), lit(0)), lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("mark")))
+
+        def step(s: Column, p: Column) -> Column:
+            start = s["at"] + p["gap"]
+            mark = F.struct(start.alias("start"), lit(rank).alias("rank"), (start + F.length(p["mark"])).alias("end"), p["mark"].alias("mark"))
+            return F.struct((start + F.coalesce(F.length(p["mark"]), lit(0))).alias("at"), F.when(p["mark"].isNull(), s["marks"]).otherwise(F.concat(s["marks"], F.array(mark))).alias("marks"))
+
+        return F.coalesce(F.aggregate(parts, F.struct(lit(0).alias("at"), empty.alias("marks")), step, lambda s: s["marks"]), empty)
+
+    outer = F.aggregate(
+        F.array_sort(F.concat(*[placed(n, p) for n, p in enumerate(_EVENTS)])), empty,
+        lambda kept, m: F.when(F.exists(kept, lambda e: (e["start"] <= m["start"]) & (m["end"] <= e["end"])), kept).otherwise(F.concat(kept, F.array(m))),
+    )
+    return F.transform(outer, lambda m: m["mark"])
+
+
 def amendments(nodes: DataFrame, regulations_: DataFrame) -> DataFrame:
     """(source_file, node_id, node_seq, idx, event_type, date, raw_text): of titles and of articles."""
     col, lit = F.col, F.lit
     article = nodes.filter("node_type = 'article'").select("source_file", "node_id", "node_seq", F.concat_ws(" ", "article_title", F.replace(col("text"), lit("\n"), lit(" "))).alias("all"))
-    marks = F.regexp_extract_all("all", F.lit("(?U)" + _EVENT), F.lit(0))
-    found = article.select("source_file", "node_id", "node_seq", F.posexplode(marks).alias("mark", "raw_text"))
+    found = article.select("source_file", "node_id", "node_seq", F.posexplode(event_marks(col("all"))).alias("mark", "raw_text"))
     when = dates(col("raw_text"))
     found = found.select("source_file", "node_id", "node_seq", "mark", "raw_text", F.posexplode_outer(when).alias("at", "date"))
     title = regulations_.filter("amendment_date is not null").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.match import any_match, matches
@@ -37,10 +37,18 @@ def ndcg(gold: Column, ranked: Column, k: int = 5) -> Column:
     return F.when(F.size(gold) > 0, got / ideal).otherwise(0.0)
 
 
-def retrieval_per_question(questions: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One row for every question that has gold; a missing prediction counts as an empty one."""
+def last_of(rows: DataFrame, key: str, values: list[str], order: str | None, tie: str) -> DataFrame:
+    """(key, values) of each key's last row by order, by default line_number where there is one; the greatest tie among rows of one place."""
+    by = order or ("line_number" if "line_number" in rows.columns else None)
+    place = F.struct(*([by] if by else []), tie)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*values), place).alias("_last")).select(key, "_last.*")
+
+
+def retrieval_per_question(questions: DataFrame, predictions: DataFrame, order: str | None = None) -> DataFrame:
+    """One row for every question that has gold; a missing prediction counts as an empty one, and of several the last by order (see last_of)."""
     asked = questions.filter(F.size("gold_citations") > 0)
-    both = asked.join(predictions.select(F.col("question_id").alias("id"), "ranked_citations"), "id", "left")
+    last = last_of(predictions, "question_id", ["ranked_citations"], order, "ranked_citations")
+    both = asked.join(last.select(F.col("question_id").alias("id"), "ranked_citations"), "id", "left")
     ranked = F.coalesce("ranked_citations", F.array().cast(predictions.schema["ranked_citations"].dataType))
     both = both.withColumn("ranked_citations", ranked).withColumn("first_hit_rank", first_hit_rank(F.col("gold_citations"), F.col("ranked_citations")))
     hit = lambda k: F.coalesce((F.col("first_hit_rank") <= k).cast("double"), F.lit(0.0)).alias(f"recall_at_{k}")
@@ -123,11 +131,11 @@ def expected_completeness(answerability: Column) -> Column:
     )
 
 
-def qa_per_question(questions: DataFrame, answers: DataFrame, on: str = "question") -> DataFrame:
-    """Metrics of the answer to each question, joined by its text; the last answer counts; no answer scores 0."""
+def qa_per_question(questions: DataFrame, answers: DataFrame, on: str = "question", order: str | None = None) -> DataFrame:
+    """Metrics of the answer to each question, joined by its text; the last answer by order counts (see last_of); no answer scores 0."""
     col = F.col
-    last = answers.withColumn("_n", F.row_number().over(Window.partitionBy(on).orderBy(col("answer_id").desc()))).filter("_n = 1")
-    both = questions.join(last.select(on, "answer_id", "citations", "evidence", "completeness_status", "confidence"), on, "left")
+    last = last_of(answers, on, ["answer_id", "citations", "evidence", "completeness_status", "confidence"], order, "answer_id")
+    both = questions.join(last, on, "left")
     there = col("answer_id").isNotNull()
     gold = F.coalesce("gold_citations", F.array().cast(questions.schema["gold_citations"].dataType))
     right = F.when(F.size(gold) == 0, F.size("citations") == 0).otherwise(any_match(gold, col("citations")))

@@ -120,6 +120,21 @@ def test_qa_metrics(answered):
     assert (m.question_count, m.citation_accuracy, m.hallucination_rate) == (4, 0.75, 0)
 
 
+def test_the_last_prediction_and_answer_count(spark):
+    asked = spark.createDataFrame([("q", "x", "answerable", [cite(article="제1조")], {})], f"id string, question string, answerability string, gold_citations array<{TYPE}>, metadata map<string,string>")
+    said = [("q", 2, [cite(article="제1조")]), ("q", 1, []), ("q", 0, [cite(article="제2조")]), (None, 9, [])]
+    found = spark.createDataFrame(said, f"question_id string, line_number long, ranked_citations array<{TYPE}>")
+    m = evaluate.retrieval_metrics(evaluate.retrieval_per_question(asked, found), asked).first()
+    assert (m.question_count, m.evaluated_count, m.recall_at_1) == (1, 1, 1.0)
+    # Without an order one row counts all the same.
+    assert evaluate.retrieval_per_question(asked, found.drop("line_number")).count() == 1
+    rows = [("x", n, a, [], [], s, 0.5) for n, a, s in ((1, "z", "partial"), (2, "a", "complete"))]
+    answers = spark.createDataFrame(rows, f"question string, line_number long, answer_id string, citations array<{TYPE}>, evidence array<struct<citation:{TYPE}>>, completeness_status string, confidence double")
+    got = evaluate.qa_per_question(asked, answers).collect()
+    assert [(r.answer_id, r.actual_completeness, r.hallucination_detected) for r in got] == [("a", "complete", True)]
+    assert evaluate.qa_per_question(asked, answers, order="confidence").first().answer_id == "z"
+
+
 def trace_line(**change):
     gold = {"article": "제1조", "source_file": "f.pdf"}
     ev = {"rank": 1, "node_id": "n1", "text": "t", "citation": gold, "source_label": "s", "source_file": "f.pdf", "source_pages": [1], "incompleteness_flags": []}
