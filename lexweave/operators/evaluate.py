@@ -110,10 +110,14 @@ def parser_summary(results: DataFrame) -> DataFrame:
 def page_coverage(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """Share of a file's pages that some structure lies on, with counts of node types."""
     part = nodes.filter("node_type <> 'regulation'")
-    covered = part.select("source_file", F.explode(F.sequence("page_start", "page_end")).alias("page")).groupBy("source_file").agg(F.countDistinct("page").alias("structural_pages"), F.min("page").alias("structural_page_start"), F.max("page").alias("structural_page_end"))
-    kinds = part.groupBy("source_file").agg(*[F.count_if(F.col("node_type") == k).alias(f"{k}_count") for k in ("chapter", "section", "article", "clause", "item", "sub_item", "appendix", "table")])
+    kinds = [F.count_if(F.col("node_type") == k).alias(f"{k}_count") for k in ("chapter", "section", "article", "clause", "item", "sub_item", "appendix", "table")]
+    spans = F.collect_set(F.when(F.col("page_end").isNotNull(), F.struct("page_start", "page_end")))
+    # Spans of one page or many; their pages are counted once, when all of a file's spans are known.
+    found = part.groupBy("source_file").agg(spans.alias("_spans"), *kinds)
+    covered = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["page_start"], s["page_end"]))))
+    found = found.withColumns({"structural_pages": F.size(covered).cast("long"), "structural_page_start": F.array_min(covered), "structural_page_end": F.array_max(covered)}).drop("_spans")
     total = pages.groupBy("source_file").agg(F.countDistinct("page_number").alias("pdf_pages"))
-    both = total.join(covered, "source_file", "left").join(kinds, "source_file", "left").fillna(0)
+    both = total.join(found, "source_file", "left").fillna(0)
     return both.withColumn("page_coverage", F.round(F.coalesce(F.try_divide("structural_pages", "pdf_pages"), F.lit(0.0)), 6))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, enrich, evaluate, export, hierarchy, project, retrieval
+from ..operators import enrich, evaluate, export, hierarchy, project, retrieval
 
 #: Lines of the three pages. {k} is the supplier's number, {m} a month made of it.
 PAGES = (
@@ -57,7 +57,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> hierarchy.Parsed:
-    return hierarchy.parse(clean.clean_lines(pages(spark, sf_dir)))
+    return hierarchy.parse_pages(pages(spark, sf_dir))
 
 
 def joined(x) -> F.Column:

@@ -145,3 +145,18 @@ def test_coverage(spark, doc):
 def test_empty(spark):
     got = hierarchy.parse(clean.clean_lines(spark.createDataFrame([], PAGES)))
     assert got.nodes.count() == got.regulations.count() == got.stats.count() == 0
+
+
+def test_nodes_carry_what_edges_and_markdown_need(spark):
+    pages = spark.createDataFrame([("dir/a.pdf", "text", 2, "② 뒤 <개정 2021.1.2.>\n부칙\n시행한다"), ("dir/a.pdf", "text", 1, TEXT.split("부칙")[0])], PAGES)
+    nodes, same = hierarchy.parse_pages(pages).nodes, hierarchy.parse(clean.clean_lines(pages))
+    refs = enrich.references(nodes)
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(nodes) == plain(same.nodes)
+    assert plain(project.graph_edges(nodes)) == plain(project.graph_edges(nodes, refs))
+    assert plain(export.markdown(nodes)) == plain(export.markdown(nodes, refs))
+    assert plain(enrich.amendments(nodes)) == plain(enrich.amendments(nodes, same.regulations))
+    assert plain(project.search_documents(nodes).drop("metadata")) == plain(project.search_documents(nodes, same.regulations, refs).drop("metadata"))
+    # One exchange by document, and one pass over it, whatever is made of the nodes.
+    plan = project.graph_edges(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Repartition") == 1 and "Window" not in plan and "Join" not in plan
