@@ -107,6 +107,10 @@ def parser_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("case_count"), F.count_if("ok").alias("ok_count"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in names])
 
 
+#: What of nodes page_coverage() takes.
+COVERAGE_FIELDS = ("source_file", "node_type", "page_start", "page_end")
+
+
 def page_coverage(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """Share of a file's pages that some structure lies on, with counts of node types."""
     part = nodes.filter("node_type <> 'regulation'")

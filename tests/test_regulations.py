@@ -2,6 +2,7 @@ import json
 
 import pytest
 from lexweave.operators import clean, enrich, evaluate, export, hierarchy, project
+from lexweave.plans import catalog
 from pyspark.sql import functions as F
 
 PAGES = "source_file string, extraction_method string, page_number int, text string"
@@ -160,3 +161,36 @@ def test_nodes_carry_what_edges_and_markdown_need(spark):
     # One exchange by document, and one pass over it, whatever is made of the nodes.
     plan = project.graph_edges(nodes)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Repartition") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_nodes_with_some_fields_of_some_kinds(spark):
+    pages = spark.createDataFrame([("dir/a.pdf", "text", 1, TEXT), ("b.pdf", "t", 1, "규정\n제1절 앞\n제1조(가) 나 ① 다 1. 라 가. 마\n제1장 뒤\n제2조(다) 라 <개정 2020.1.2.>")], PAGES)
+    whole = hierarchy.parse_pages(pages).nodes
+    plain = lambda df: sorted(map(str, df.collect()))
+    for fields, kinds in (
+        (project.EDGE_FIELDS, hierarchy.NODE_TYPES), (export.MARKDOWN_FIELDS, hierarchy.NODE_TYPES), (enrich.REFERENCE_FIELDS, hierarchy.NODE_TYPES), (project.SEARCH_FIELDS, project.SEARCHED), (("node_type",), hierarchy.NODE_TYPES),
+        (("node_seq", "has_parts", "status"), ("article", "table")), (enrich.EVENT_FIELDS, enrich.EVENT_KINDS), (("order_in_parent", "raw_text", "path"), ("clause", "sub_item", "section")), (("line_end",), ("item", "chapter", "appendix")),
+    ):
+        some = hierarchy.parse_pages(pages, fields, kinds).nodes
+        assert some.columns == list(fields)
+        assert plain(some) == plain(whole.filter(F.col("node_type").isin(*kinds)).select(*fields))
+    assert plain(enrich.amendments(hierarchy.parse_pages(pages, enrich.EVENT_FIELDS, enrich.EVENT_KINDS).nodes)) == plain(enrich.amendments(whole).drop("source_file", "node_id", "node_seq"))
+    assert plain(project.citations(hierarchy.parse_pages(pages, (*project.LABEL_FIELDS, "text")).nodes)) == plain(project.citations(whole).drop("node_seq", "node_id"))
+    with pytest.raises(ValueError, match="unknown"):
+        hierarchy.parse_pages(pages, ("nodetype",))
+
+
+def test_tasks_by_document_are_not_made_of_sizes(spark):
+    made = hierarchy.parse_pages(spark.createDataFrame([(f"{k}.pdf", "t", 1, "제1조 x") for k in range(40)], PAGES), ("node_type",)).nodes
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize(
+    ("query", "made"),
+    [("graph_edges", 5), ("graph_degree", 5), ("node_quality_metadata", 29), ("page_coverage", 4), ("reg_amendments", 5), ("reg_citations", 18), ("reg_clause_rows", 6), ("reg_item_rows", 6), ("reg_markdown", 16), ("reg_nodes_by_type", 1), ("reg_refs_by_type", 5)],
+)
+def test_queries_make_no_more_of_nodes_than_they_need(spark, monkeypatch, query, made):
+    seen = []
+    monkeypatch.setattr(hierarchy.parser, "Wanted", lambda *a, whole=hierarchy.parser.Wanted: seen.append(whole(*a)) or seen[-1])
+    catalog.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert [len(w.fields) for w in seen] == [made]
