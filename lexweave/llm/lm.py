@@ -93,6 +93,28 @@ def labels(n: int) -> np.ndarray:
     return np.sort(np.concatenate(out))[:n]
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sorted; the place of each key among them): np.unique with inverse, by a sort of keys and places in one number."""
+    n = len(keys)
+    if not n:
+        return keys, np.zeros(0, np.int32)
+    width, least = n.bit_length(), keys.min()
+    low = np.uint64(max(0, int(keys.max() - least).bit_length() + width - 64))
+    packed = ((keys - least) >> low) << np.uint64(width) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << width) - 1)).astype(np.int64)
+    del packed
+    known = keys[order]
+    if low and (known[1:] < known[:-1]).any():
+        # Keys that differ in bits that had no room: nearly sorted, so this is quick.
+        again = np.argsort(known, kind="stable")
+        order, known = order[again], known[again]
+    new = np.concatenate([[True], known[1:] != known[:-1]])
+    place = np.empty(n, np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return known[new], place
+
+
 class Events:
     """The events of a chunk's texts. keys: distinct keys of each order, sorted; place: each event's key; copies: how often each counts."""
 
@@ -117,9 +139,9 @@ class Events:
         self.keys, self.place = [], []
         for order in range(3):
             key = h if order == 0 else words.mix(before * np.uint64(3) + h) if order == 1 else words.mix(words.mix(before2 * np.uint64(5) + before) + h)
-            key, place = np.unique(words.mix(key ^ words.salt(order)) >> np.uint64(64 - bits), return_inverse=True)
+            key, place = ranked(words.mix(key ^ words.salt(order)) >> np.uint64(64 - bits))
             self.keys.append(key)
-            self.place.append(place.astype(np.int32))
+            self.place.append(place)
 
     def counts(self, order: int) -> list[np.ndarray]:
         return [np.bincount(self.place[order], weights=self.copies * (self.fold == f), minlength=len(self.keys[order])).astype(np.uint32) for f in (0, 1)]
@@ -184,7 +206,7 @@ def _answer(blobs: list[bytes]) -> tuple[list[bytes], tuple[int, int, int]]:
     stats = (0, 0, 0)
     for order in range(3):
         keys = np.concatenate([np.cumsum(g[order][0], dtype=np.uint64) for g in got])
-        known, place = np.unique(keys, return_inverse=True)
+        known, place = ranked(keys)
         totals = [np.bincount(place, weights=np.concatenate([g[order][1 + f] for g in got]), minlength=len(known)).astype(np.uint64) for f in (0, 1)]
         at = 0
         for k, g in enumerate(got):
@@ -196,26 +218,27 @@ def _answer(blobs: list[bytes]) -> tuple[list[bytes], tuple[int, int, int]]:
     return [pack(x, _GIVE) for x in out], stats
 
 
-def looked_up(events: Events, answers: list[bytes]) -> list[np.ndarray]:
-    """For each order the counts of every event's key in either fold."""
+def looked_up(events: Events, answers: list[bytes], deleted: bool) -> list[np.ndarray]:
+    """For each order the counts of every event's key: in all rows if deleted, else in the other fold's."""
     parts = [unpack(a, _GIVE, _GIVE_KINDS) for a in answers]
     out = []
     for order in range(3):
-        both = np.stack([np.concatenate([p[order][f] for p in parts]) if parts else np.zeros(0, np.uint64) for f in (0, 1)]).astype(np.float64)
-        if both.shape[1] != len(events.keys[order]):
+        a, b = (np.concatenate([p[order][f] for p in parts]) if parts else np.zeros(0, np.uint64) for f in (0, 1))
+        if len(a) != len(events.keys[order]):
             raise RuntimeError("a chunk's keys changed between two reads of its texts")
-        out.append(both[:, events.place[order]])
+        place = events.place[order]
+        if deleted:
+            out.append((a + b).astype(np.float64)[place])
+        else:
+            # Those of fold 0 after those of fold 1, so that a fold's number leads to the other's.
+            out.append(np.concatenate([b, a]).astype(np.float64)[place + events.fold * np.int64(len(a))])
     return out
 
 
 def estimates(events: Events, counts: list[np.ndarray], vocabulary: int, total: tuple[int, int], deleted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each event, its four estimates): by all counts less the event itself if deleted, else by the other fold's."""
-    n = len(events.doc)
-    if deleted:
-        uni, bi, tri = (c.sum(0) for c in counts)
-    else:
-        other, row = 1 - events.fold, np.arange(n)
-        uni, bi, tri = (c[other, row] for c in counts)
+    """(class of each event, its four estimates) by what looked_up() gave: all counts, less the event itself, if deleted, else the other fold's."""
+    n, other = len(events.doc), 1 - events.fold
+    uni, bi, tri = counts
     last = np.append(events.first[1:], n)[: len(events.first)] - 1
     # A text's first events have the number of texts, that of their ends, as their contexts' count.
     if deleted:
@@ -249,8 +272,8 @@ def cells(bucket: np.ndarray, p: np.ndarray, copies: np.ndarray) -> tuple[np.nda
             steps, least = GRID[k]
             q = np.where(p[:, k] > 0, 1 + np.clip(np.floor(-np.log2(p[:, k]) * steps), 0, least * steps), 0)
         code = code * (least * steps + 2) + q.astype(np.int64)
-    code, place = np.unique(code, return_inverse=True)
-    return code, np.bincount(place, weights=copies, minlength=len(code)), np.stack([np.bincount(place, weights=copies * p[:, k], minlength=len(code)) for k in range(3)], 1)
+    code, place = ranked(code.view(np.uint64))
+    return code.view(np.int64), np.bincount(place, weights=copies, minlength=len(code)), np.stack([np.bincount(place, weights=copies * p[:, k], minlength=len(code)) for k in range(3)], 1)
 
 
 def maximise(n: np.ndarray, p: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -323,7 +346,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: i
         if table.num_rows and totals.num_rows:
             answers, v, total = _in_order(totals)
             events = read(table)
-            code, n, p = cells(*estimates(events, looked_up(events, answers), v, total, False), events.copies)
+            code, n, p = cells(*estimates(events, looked_up(events, answers, False), v, total, False), events.copies)
             words.release()
         return pa.table({"code": pa.array(code), "n": pa.array(n, pa.float32()), **{f"p{k}": pa.array(p[:, k].astype(np.float32)) for k in range(3)}})
 
@@ -344,7 +367,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: i
             weights = np.full((BUCKETS, 4), 0.25)
             for x in totals.column("weights")[0].as_py():
                 weights[x["bucket"]] = x["weights"]
-            bucket, p = estimates(events, looked_up(events, answers), v, total, True)
+            bucket, p = estimates(events, looked_up(events, answers, True), v, total, True)
             cost = -np.log2((weights[bucket] * p).sum(1))
             bits[events.doc[events.first]] = np.add.reduceat(cost, events.first)
             bits = np.round(bits / np.maximum(n, 1), 6)

@@ -5,6 +5,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from conftest import prose
 from lexweave.llm import decontaminate, fmindex, language, licenses, lm, sampling, simhash, toxicity
 
@@ -623,3 +624,15 @@ def test_lm_of_odd_rows(odd, empty):
     assert len(rows) == odd.count() and all((r.bits is None) == (r.events == 0) for r in rows)
     assert lm.score(empty).count() == 0
     assert {r.bits for r in lm.score(odd.filter("doc_id in (3, 4, 5)")).collect()} == {None}
+
+
+@pytest.mark.parametrize("bits", [5, 40, 53, 64])
+def test_ranked_is_unique_with_places(bits):
+    r = np.random.default_rng(bits)
+    keys = r.integers(0, 2**64, 50_000, dtype=np.uint64) >> np.uint64(64 - bits)
+    # Keys that differ only in bits that a number of 64 bits has no room for beside a place.
+    keys = np.concatenate([keys, keys[:9000] ^ np.uint64(1), keys[:9000]])
+    known, place = lm.ranked(keys)
+    want, where = np.unique(keys, return_inverse=True)
+    assert (known == want).all() and (place == where).all() and place.dtype == np.int32
+    assert [len(x) for x in lm.ranked(keys[:0])] == [0, 0] and lm.ranked(keys[:1])[1].tolist() == [0]
