@@ -281,3 +281,11 @@ def test_term_counts(spark, monkeypatch):
     want = docs.select(F.explode(retrieval.tokens("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
     assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()  # no row for every n-gram
+
+
+def test_two_runs_of_one_evaluation_search_once(spark, monkeypatch):
+    from lexweave.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(catalog.retrieval, "search", lambda *a, whole=catalog.retrieval.search, **names: seen.append(1) or whole(*a, **names))
+    assert catalog.metric_union(spark, "/root/testdata/sf0.001").count() == 6 and len(seen) == 1
