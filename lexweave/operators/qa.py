@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,10 +145,11 @@ def guarded(responses: DataFrame) -> DataFrame:
     ).drop("_kept", "_lost")
 
 
-def answer(questions: DataFrame, retriever: EvidenceRetriever, documents: DataFrame, adapter: Adapter | None = None) -> DataFrame:
-    """One answer for each question (query_id, question, metadata)."""
+def answer(questions: DataFrame, retriever: EvidenceRetriever, documents: DataFrame | Callable[[DataFrame], DataFrame], adapter: Adapter | None = None) -> DataFrame:
+    """One answer for each question (query_id, question, metadata). documents: all, or a function that gives those of hits."""
     adapter = adapter or MockAdapter()
-    found = evidence(retriever.retrieve(questions), documents)
+    hits = retriever.retrieve(questions)
+    found = evidence(hits, documents(hits) if callable(documents) else documents)
     config = retriever.trace_config()
     packages = questions.join(found, "query_id", "left")
     packages = packages.withColumn("evidence", F.coalesce("evidence", F.array().cast(found.schema["evidence"].dataType)))

@@ -294,3 +294,24 @@ def test_two_runs_of_one_evaluation_search_once(spark, monkeypatch):
 def test_words_without_hangul_take_no_pattern(monkeypatch):
     monkeypatch.setattr(retrieval, "_WORD", None)
     assert retrieval.words("Straße_1, ÉTÉ ﬁn\u0085x\ud800Y ①２ 漢字a\tK?") == ["strasse", "1", "t", "fin", "x", "y", "a", "k"]
+
+
+def test_texts_are_not_exchanged_for_hits(spark):
+    at = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    try:
+        asked, docs = catalog.questions(spark, at), catalog.documents(spark, at)
+        retriever = qa.Bm25Retriever(docs, 5)
+        hits = retriever.retrieve(asked)
+        made, want = catalog._answers(spark, at), qa.answer(asked, retriever, docs)
+        fields = ["query_id", "answer_id", "completeness_status", "confidence", "evidence"]
+        assert sorted(map(str, made.select(*fields).collect())) == sorted(map(str, want.select(*fields).collect()))
+        for found in (made, retrieval.predictions(hits, docs)):
+            plan = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+            # The join above the documents' scan is one with the hits, which are sent to it.
+            scan = next(i for i, line in enumerate(plan) if "FileScan" in line and "documents.parquet" in line)
+            depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+            above = next(line for i, line in reversed(list(enumerate(plan[:scan]))) if "Join" in line and depth(line) < depth(plan[scan]))
+            assert "BroadcastHashJoin" in above
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
